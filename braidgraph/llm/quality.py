@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .storage import map_arrow
 from .textcols import IS_SPACE, blocks, code_points, hashes, per_row, windows, words
 
 SYMBOLS = b"#*$%&|<>"
@@ -155,7 +156,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(0), *_reports(b.column(1), bands, press)], [a for a, _ in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
@@ -170,4 +171,4 @@ def quality_filter(docs: DataFrame, text_col: str = "text", bands: Bands = Bands
             if b.num_rows:
                 yield b.filter(_reports(b.column(b.schema.get_field_index(text_col)), bands, press)[kept])
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

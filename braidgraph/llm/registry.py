@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .host_reputation import query
+
+    return query(spark, sf_dir)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,15 +27,45 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import copies
+
+    rows = copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.selectExpr("doc_id", "mix_size AS size", "mix_source_size AS source_size", "mix_target AS target", "mix_size * mix_copies AS taken")
+
+
+def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import span_report
+
+    return span_report(table(spark, sf_dir, "documents"))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import capture_records
+
+    return capture_records(table(spark, sf_dir, "pages"))
+
+
+def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_overlaps
+
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_host_reputation": op2_host_reputation,
     "op3_token_counts": op3_token_counts,
+    "op5_source_mix": op5_source_mix,
+    "op6_weak_supervision_pii": op6_weak_supervision_pii,
     "op7_compression_bands": op7_compression_bands,
+    "op8_capture_index": op8_capture_index,
+    "op9_spaced_seeds": op9_spaced_seeds,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_source_mix": mixing.ORACLE}

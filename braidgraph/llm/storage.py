@@ -90,3 +90,30 @@ def mapped(uri: str):
             return f.read()
     with open(path, "rb") as f:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.path.getsize(path) else b""
+
+
+_SHIPPED: dict[str, str] = {}
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow, once this package is where the workers can import it."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED[context.applicationId] = path = _zipped()
+        context.addPyFile(path)
+    return df.mapInArrow(function, schema)
+
+
+def _zipped() -> str:
+    """A zip file of the package's modules, for the executors of a cluster that doesn't have it installed."""
+    import zipfile
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="braid-code-"), "braidgraph_modules.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(top):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    return path

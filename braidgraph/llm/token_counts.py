@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .storage import map_arrow
+
 #: Pieces a worker remembers; a full table is emptied, which changes no result.
 REMEMBERED = 400_000
 #: Longer pieces are merged each time they come: they rarely repeat.
@@ -141,4 +143,4 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 tokens.append(count(text))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_arrow(docs.select(id_col, text_col), run, schema)
