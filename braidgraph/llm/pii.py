@@ -265,8 +265,11 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(id_col, *counts, F.sha2(_joined(F.col("pii_base")), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """The documents with every span replaced by <KIND>; of overlapping spans the first stands for all. Null texts stay null."""
+def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None, length_col: str | None = None) -> DataFrame:
+    """The documents with every span replaced by <KIND>; of overlapping spans the first stands for all. Null texts stay null.
+
+    `length_col`, if the documents have it, becomes the code points of a text that changed.
+    """
     rows = with_spans(docs, text_col, "pii_spans", model)
     # Joined spans: an overlapping one only extends the one before.
     start = F.struct(F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>").alias("out"), F.lit(0).cast("bigint").alias("at"))
@@ -282,4 +285,9 @@ def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None)
     text, spans = F.col(text_col), F.col("pii_spans")
     kept = F.transform(spans, lambda x, i: F.concat(F.substr(text, F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0)).cast("int") + 1, (x["start"] - F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))).cast("int")), F.lit("<"), F.upper(_name(x["kind_no"])), F.lit(">")))
     whole = F.concat(F.array_join(kept, ""), F.substr(text, F.element_at(spans, -1)["end"].cast("int") + 1))
-    return rows.withColumn(text_col, F.when(spans.isNotNull() & text.isNotNull(), whole).otherwise(text)).select(*docs.columns)
+    changed = spans.isNotNull() & text.isNotNull()
+    rows = rows.withColumns({"pii_changed": changed, text_col: F.when(changed, whole).otherwise(text)})
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        rows = rows.withColumn(length_col, F.when(F.col("pii_changed"), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
+    return rows.select(*docs.columns)

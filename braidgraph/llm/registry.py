@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .host_reputation import query
 
@@ -27,6 +33,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import train_and_score
+
+    rows = train_and_score(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import copies
 
@@ -58,14 +71,23 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrappers import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_dart_minhash": op1_dart_minhash,
     "op2_host_reputation": op2_host_reputation,
     "op3_token_counts": op3_token_counts,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_source_mix": op5_source_mix,
     "op6_weak_supervision_pii": op6_weak_supervision_pii,
     "op7_compression_bands": op7_compression_bands,
     "op8_capture_index": op8_capture_index,
     "op9_spaced_seeds": op9_spaced_seeds,
+    "op10_wrappers": op10_wrappers,
 }
 
 ORACLES: dict[str, str] = {"op5_source_mix": mixing.ORACLE}
