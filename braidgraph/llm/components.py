@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import scratch, written
 
 #: Smallest neighbours are broadcast up to this number of nodes (about 60 bytes each), else joined by shuffle.
 BROADCAST_NODES = 200_000
@@ -39,16 +39,21 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links, "cc-links")
     state = _state(links)
     while state[0]:
-        both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = _least(both, "u", "v", "cc-least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
-        large = written(large, "cc-large")
-        least = _least(large, "u", "v", "cc-least")
-        moved = large.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        links = written(moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "cc-links")
+        with scratch(links.sparkSession) as keep:
+            links = keep(_step(links))
         now = _state(links)
         if now == state:
             break
         state = now
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+
+
+def _step(links: DataFrame) -> DataFrame:
+    both = links.unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
+    least = _least(both, "u", "v", "cc-least")
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
+    large = written(large, "cc-large")
+    least = _least(large, "u", "v", "cc-least")
+    moved = large.join(least, "u").where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return written(moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "cc-links")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import let
-from .storage import written
+from .storage import scratch, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Hashes of the benchmark are broadcast up to this number (16 bytes and some overhead each), else joined by shuffle.
@@ -91,6 +91,11 @@ def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     with equal ids are taken for one, by the best of their diagonals; items with equal words are compared
     once and reported each. Other columns are not read; empty tables give no rows.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(written(_overlaps(docs, items, id_col, text_col, item_col, item_text_col, seeds), "bench-overlaps"))
+
+
+def _overlaps(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, seeds: Seeds) -> DataFrame:
     listed = items.select(F.col(item_col).alias("item"), tokens(F.col(item_text_col)).alias("words")).where("size(words) > 0")
     listed = written(listed.withColumn("form", F.sha2(F.concat_ws(" ", "words"), 256)), "bench-items")
     forms = listed.groupBy("form").agg(F.first("words").alias("words"))

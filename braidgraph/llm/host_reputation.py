@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import scratch, written
 
 #: Public suffixes of two labels; others have one. A parameter of the operator.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "co.za", "com.br", "com.cn", "com.tr", "com.mx", "co.in", "co.kr")
@@ -130,8 +130,9 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     rows = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if len(set(rules)) > INLINE_RULES:
         rows = written(rows.withColumn("row_key", F.concat(F.spark_partition_id().cast("string"), F.lit(":"), F.monotonically_increasing_id().cast("string"))), "url-rows")
-    judged = host_posteriors(rows.select("host"), outcomes.select(host_of(F.col("url")).alias("host"), "bad"), limits)
-    judged = written(judged.select("host", "posterior_mean", "posterior_low"), "host-reputation")
+    with scratch(pages.sparkSession) as keep:
+        judged = host_posteriors(rows.select("host"), outcomes.select(host_of(F.col("url")).alias("host"), "bad"), limits)
+        judged = keep(written(judged.select("host", "posterior_mean", "posterior_low"), "host-reputation"))
     rows = with_rules(rows, list(rules), "row_key")
     if judged.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         rows = rows.join(F.broadcast(judged), "host", "left")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import fresh, map_arrow, mapped, read_range, write_bytes, written
+from .storage import fresh, map_arrow, mapped, read_range, scratch, write_bytes, written
 from .textcols import LOWER_KEYS, blocks, hashes, mix, per_row, words
 
 #: The token at the end of every text.
@@ -221,6 +221,11 @@ def is_training(id_col: str) -> Column:
 
 def train(texts: DataFrame) -> dict:
     """Count a model over a table of one text column; returns its description (paths and a few numbers)."""
+    with scratch(texts.sparkSession):
+        return _trained(texts)
+
+
+def _trained(texts: DataFrame) -> dict:
     spark = texts.sparkSession
     folder = fresh(spark, "kneser-ney")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

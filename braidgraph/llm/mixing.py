@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import free_prefix
 from .storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,19 +59,19 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     words has target 0 and its documents no copies. Rows with equal ids are drawn alike. Columns of
     the documents that already have one of the four names are replaced. An empty table gives no rows.
     """
-    own = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
+    given = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    own = [c for c in docs.columns if c not in given]
+    p = free_prefix(docs.columns, "mixing_")
     sized = docs.select(*own, _size(text_col).alias("mix_size"))
     targets = source_targets(docs.select(F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size")), weights, most_rate)
-    targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    targets = targets.select(F.col("source").alias(f"{p}source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     targets = written(targets, "mix-targets")
+    same = F.col(source_col).cast("string").eqNullSafe(F.col(f"{p}source"))
     if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rows = sized.join(F.broadcast(targets), F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
+        rows = sized.join(F.broadcast(targets), same)
     else:
-        salt = "mix_salt"
-        rows = sized.withColumn(salt, F.pmod(F.xxhash64(id_col), F.lit(SALTS))).join(
-            targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("mix_salt_too")),
-            F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")) & (F.col(salt) == F.col("mix_salt_too")),
-        )
+        salted = targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(f"{p}salt"))
+        rows = sized.withColumn(f"{p}own_salt", F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(f"{p}own_salt") == F.col(f"{p}salt")))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     taken = whole + F.when(_draw(id_col, seed) < rate - whole, 1).otherwise(0)
@@ -80,7 +81,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: every document as often as it is taken, with copy_no from 1."""
     rows = copies(docs, id_col, text_col, source_col, **how)
-    own = [c for c in docs.columns if c in rows.columns and not c.startswith("mix_") and c != "copy_no"]
+    own = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies", "copy_no")]
     return rows.where("mix_copies > 0").select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies"))).alias("copy_no"))
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let
+from .columns import free_prefix, let
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -149,13 +149,13 @@ def _found(text: Column, kind: str, base: bool) -> Column:
 def candidates(docs: DataFrame, text_col: str = "text", out_col: str = "candidates") -> DataFrame:
     """Adds the base spans and the further candidates that overlap none of them, sorted by place, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({f"pii_{k}": _found(text, k, True) for k in KINDS} | {f"pii_more_{k}": _found(text, k, False) for k in KINDS})
-    base = F.concat(*(F.col(f"pii_{k}") for k in KINDS))
-    more = F.concat(*(F.col(f"pii_more_{k}") for k in KINDS))
-    rows = rows.withColumns({"pii_base": base, "pii_more": more})
-    fresh = F.filter("pii_more", lambda x: ~F.exists("pii_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    rows = rows.withColumn(out_col, F.array_sort(F.concat("pii_base", F.when(F.size("pii_more") > 0, fresh).otherwise(F.col("pii_more")))))
-    return rows.drop("pii_base", "pii_more", *(f"pii_{k}" for k in KINDS), *(f"pii_more_{k}" for k in KINDS))
+    own = free_prefix(docs.columns, "pii_")
+    base, more = [f"{own}{k}" for k in KINDS], [f"{own}more_{k}" for k in KINDS]
+    rows = docs.withColumns({c: _found(text, k, c in base) for c, k in zip(base + more, KINDS + KINDS, strict=True)})
+    rows = rows.withColumns({f"{own}base": F.concat(*base), f"{own}others": F.concat(*more)})
+    fresh = F.filter(f"{own}others", lambda x: ~F.exists(f"{own}base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    found = F.concat(f"{own}base", F.when(F.size(f"{own}others") > 0, fresh).otherwise(F.col(f"{own}others")))
+    return rows.select(*(c for c in docs.columns if c != out_col), F.array_sort(found).alias(out_col))
 
 
 @dataclass(frozen=True)
@@ -239,10 +239,11 @@ def with_spans(docs: DataFrame, text_col: str = "text", out_col: str = "spans",
     Places count code points, ends are exclusive. A null or empty text has no spans. Without a model one
     is learnt from these documents. Columns of the documents named like `out_col` are replaced.
     """
-    rows = candidates(docs.drop(out_col), text_col, "pii_candidates")
-    model = model or fit(rows.select("pii_candidates"), "pii_candidates")
-    scored = F.transform("pii_candidates", lambda x: F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"), x["base"].alias("base"), model.probability(x["kind_no"], x["votes"]).alias("p")))
-    return rows.withColumn(out_col, F.filter(scored, lambda x: x["base"] | (x["p"] >= model.threshold))).drop("pii_candidates")
+    own = free_prefix(docs.columns, "pii_") + "candidates"
+    rows = candidates(docs.drop(out_col), text_col, own)
+    model = model or fit(rows.select(own), own)
+    scored = F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"), x["base"].alias("base"), model.probability(x["kind_no"], x["votes"]).alias("p")))
+    return rows.withColumn(out_col, F.filter(scored, lambda x: x["base"] | (x["p"] >= model.threshold))).drop(own)
 
 
 def _name(kind_no: Column) -> Column:
@@ -270,7 +271,9 @@ def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None,
 
     `length_col`, if the documents have it, becomes the code points of a text that changed.
     """
-    rows = with_spans(docs, text_col, "pii_spans", model)
+    own = free_prefix(docs.columns, "pii_")
+    held, flag = f"{own}spans", f"{own}changed"
+    rows = with_spans(docs, text_col, held, model)
     # Joined spans: an overlapping one only extends the one before.
     start = F.struct(F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
@@ -281,13 +284,13 @@ def redact(docs: DataFrame, text_col: str = "text", model: Model | None = None,
         out = F.when(x["start"] < acc["at"], F.array_append(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), longer)).otherwise(F.array_append(acc["out"], span))
         return F.struct(out.alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
 
-    rows = rows.withColumn("pii_spans", F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", start, step, lambda acc: acc["out"])))
-    text, spans = F.col(text_col), F.col("pii_spans")
+    rows = rows.withColumn(held, F.when(F.size(held) > 0, F.aggregate(held, start, step, lambda acc: acc["out"])))
+    text, spans = F.col(text_col), F.col(held)
     kept = F.transform(spans, lambda x, i: F.concat(F.substr(text, F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0)).cast("int") + 1, (x["start"] - F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))).cast("int")), F.lit("<"), F.upper(_name(x["kind_no"])), F.lit(">")))
     whole = F.concat(F.array_join(kept, ""), F.substr(text, F.element_at(spans, -1)["end"].cast("int") + 1))
     changed = spans.isNotNull() & text.isNotNull()
-    rows = rows.withColumns({"pii_changed": changed, text_col: F.when(changed, whole).otherwise(text)})
+    rows = rows.withColumns({flag: changed, text_col: F.when(changed, whole).otherwise(text)})
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
-        rows = rows.withColumn(length_col, F.when(F.col("pii_changed"), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
+        rows = rows.withColumn(length_col, F.when(F.col(flag), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
     return rows.select(*docs.columns)

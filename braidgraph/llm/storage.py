@@ -6,6 +6,7 @@ session) a private folder is made once and set as the checkpoint folder.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -30,8 +31,39 @@ def fresh(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends, lost executors cost nothing."""
     path = fresh(df.sparkSession, name)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.braid_path = path
+    return out
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written in this scope go at its end, but for those given to the function it yields.
+
+    What leaves the scope must not depend on other tables of it. Tables that are kept pass to the scope around.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+
+    def keep(table: DataFrame) -> DataFrame:
+        paths.remove(table.braid_path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(table.braid_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _local(uri: str) -> str | None:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .components import bounded
 from .host_reputation import host_of
-from .storage import map_arrow, written
+from .storage import map_arrow, scratch, written
 
 #: Wrappers are broadcast up to this number of hosts (about 1 kB each), else joined by a salted shuffle.
 BROADCAST_HOSTS = 50_000
@@ -363,7 +363,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     A null or empty page has an empty text. Pages without a host (null URL, no ://) form a host of their own.
     Rows with equal ids are extracted one by one; other columns are not read; an empty table gives no rows.
     """
-    wrappers = written(infer(pages, url_col, html_col), "wrappers").select(F.col("host").alias("w_host"), F.col("main").alias("w_main"))
+    with scratch(pages.sparkSession) as keep:
+        wrappers = keep(written(infer(pages, url_col, html_col), "wrappers"))
+    wrappers = wrappers.select(F.col("host").alias("w_host"), F.col("main").alias("w_main"))
     rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(F.col(url_col)).alias("w_own"))
     if wrappers.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         rows = rows.join(F.broadcast(wrappers), F.col("w_own") == F.col("w_host"), "left")
