@@ -90,7 +90,7 @@ def _throw(row: np.ndarray, key: np.ndarray, weight: np.ndarray, total: np.ndarr
     low = np.where(region == 0, 0.0, np.exp2(region - 1.0))
     width = np.where(region == 0, 1.0, low)
     state = mix(key[owner] + (region.astype(np.uint64) + _U(seed << 8)) * _GOLD)
-    limit = (thrown / total)[row[owner]]
+    limit = thrown / total[row[owner]]
     rank = np.zeros(len(owner))
     alive = np.arange(len(owner))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

@@ -2,10 +2,12 @@
 
 Equal texts meet by a 128-bit key of their words and count once from then on. Each distinct text gets
 a signature; texts that agree in all coordinates of a band share a bucket. Every member of a bucket is
-compared with the bucket's least and greatest member, which settles buckets of up to three; in larger
-buckets that still hold several components, the members outside the largest one are compared
-with all members in blocks, by signature, and only likely pairs come out. All pairs are verified on
-the words themselves before they link, and the classes are the connected components of the links.
+compared with three hubs: the most central member (the one whose buckets are fullest: the original
+of a group of copies shares most buckets), the least and the greatest. That settles buckets of up to
+three. In larger buckets that still hold several components, the members outside the largest one are
+compared with all members in blocks; a block's task sends only links that join two components, so
+its output grows with its members, not their pairs. All pairs are verified on the words themselves
+before they link, and the classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import free_prefix
 from .components import bounded, components
 from .darts import band_keys, shingles, signatures, similarity, text_keys
-from .storage import map_arrow, written
+from .storage import map_arrow, scratch, written
 from .textcols import blocks
 
 #: Tables of nodes (about 60 bytes a row) are broadcast up to this number of rows, else joined by shuffle.
@@ -68,12 +72,10 @@ def signed(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame
                 keys = band_keys(sig, plan.bands).view(np.int64)
                 node = _fixed(np.stack([high, low], axis=1))
                 if (counts == 0).any():
-                    node = pa.compute.if_else(pa.array(counts > 0), node, pa.nulls(n, pa.binary()))
+                    node = pc.if_else(pa.array(counts > 0), node, pa.nulls(n, pa.binary()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * plan.bands, plan.bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), node, _fixed(sig), lists], schema.names)
 
-    import pyarrow.compute  # noqa: F401  pa.compute is used in run
-
     return map_arrow(docs.select(id_col, text_col), run, schema)
 
 
@@ -92,6 +94,15 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
     return map_arrow(rows, run, T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())]))
 
 
+def _texts(nodes: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and the text of one document for each of the nodes that has an id."""
+    named = bounded(written(nodes.select("node").distinct(), "dup-named"), BROADCAST_ROWS)
+    some = rows.where("doc IS NOT NULL").join(named, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc"))
+    some = bounded(written(some, "dup-some"), BROADCAST_ROWS)
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(some, "doc").select("node", "text")
+    return written(texts.groupBy("node").agg(F.first("text").alias("text")), "dup-texts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
     """u, v, similarity of the pairs that are similar enough, by the words of one text of each node."""
     schema = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType()), T.StructField("similarity", T.DoubleType())])
@@ -105,64 +116,97 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, t
                 out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim)], schema.names)
                 yield out.filter(pa.array(sim >= plan.least))
 
-    # One text of each node that some pair names.
-    named = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "dup-named")
-    some = rows.where("doc IS NOT NULL").join(bounded(named, BROADCAST_ROWS), "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc"))
-    some = bounded(written(some, "dup-some"), BROADCAST_ROWS)
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(some, "doc").select("node", "text")
-    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "dup-texts")
+    texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("node")), docs, rows, id_col, text_col)
     left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "uv")
     return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), run, schema)
 
 
-def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
-    """Likely pairs of members of one bucket in different components: those outside the bucket's largest
-    component against all, block by block. Pairs are compared in the task, and only likely ones leave it."""
+def _joining(left: pa.Table, right: pa.Table, plan: Plan) -> tuple[list, list]:
+    """Verified links between members of two blocks that join components which no link before them joined."""
     k = plan.bands * plan.rows
+
+    def side(t: pa.Table):
+        _, data, offsets = next(blocks(t["text"], 1 << 62))
+        row, key, count = shingles(data, offsets, plan.size)
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, k)
+        return t["node"].to_pylist(), t["label"].to_pylist(), sig, (row, key, count, np.searchsorted(row, np.arange(len(t) + 1)), np.bincount(row, count, len(t)))
+
+    (ln, ll, ls, (_, lkey, lcount, lcut, ltotal)), (rn, rl, rs, (rrow, rkey, rcount, _, rtotal)) = side(left), side(right)
+    parent: dict = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    agree = np.stack([(rs == s).sum(axis=1) for s in ls])
+    u, v = [], []
+    # Central members first: their links join most, and joined pairs need no look.
+    for i in np.argsort(-(agree >= plan.likely * k).sum(axis=1), kind="stable"):
+        own = root(ll[i])
+        likely = np.array([j for j in np.flatnonzero(agree[i] >= plan.likely * k) if root(rl[j]) != own], np.int64)
+        if not len(likely):
+            continue
+        key, count = lkey[lcut[i] : lcut[i + 1]], lcount[lcut[i] : lcut[i + 1]]
+        at = np.minimum(np.searchsorted(key, rkey), len(key) - 1)
+        common = np.bincount(rrow, np.where(key[at] == rkey, np.minimum(count[at], rcount), 0), len(rn))
+        similar = common / (ltotal[i] + rtotal - common) >= plan.least
+        for j in likely[similar[likely]]:
+            a, b = root(ll[i]), root(rl[j])
+            if a != b:
+                parent[a] = b
+                u.append(max(ln[i], rn[j]))
+                v.append(min(ln[i], rn[j]))
+    return u, v
+
+
+def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts_of, plan: Plan) -> DataFrame:
+    """Links u, v between members of one bucket in different components: those outside the bucket's largest
+    component against all, block by block."""
     pair = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
     placed = members.join(bounded(labels, BROADCAST_ROWS), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     buckets = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1")
     buckets = written(buckets.select("bucket", "members", F.col("most.label").alias("most")), "dup-open")
-    rows = placed.join(bounded(buckets, BROADCAST_ROWS), "bucket").join(sigs.select("node", "sig"), "node")
+    rows = written(placed.join(bounded(buckets, BROADCAST_ROWS), "bucket"), "dup-open-members")
+    if rows.isEmpty():
+        return members.sparkSession.createDataFrame([], pair)
+    rows = rows.join(sigs.select("node", "sig"), "node").join(texts_of(rows.select("node")), "node")
     n_blocks = F.ceil(F.col("members") / plan.block).cast("int")
     rows = rows.withColumns({"own": F.pmod(F.xxhash64("node"), n_blocks).cast("int"), "all": F.sequence(F.lit(0), n_blocks - 1), "outside": F.col("label") != F.col("most")})
     # The left side goes to every block of the right side; the right side to every block that some outsider is in.
-    lefts = rows.where("outside").select("bucket", F.col("own").alias("left_block"), F.explode("all").alias("right_block"), F.lit(True).alias("is_left"), "node", "label", "sig")
+    lefts = rows.where("outside").select("bucket", F.col("own").alias("left_block"), F.explode("all").alias("right_block"), F.lit(True).alias("is_left"), "node", "label", "sig", "text")
     held = written(rows.where("outside").select("bucket", F.col("own").alias("left_block")).distinct(), "dup-blocks")
-    rights = rows.select("bucket", F.col("own").alias("right_block"), F.lit(False).alias("is_left"), "node", "label", "sig").join(bounded(held, BROADCAST_ROWS), "bucket").select(*lefts.columns)
+    rights = rows.select("bucket", F.col("own").alias("right_block"), F.lit(False).alias("is_left"), "node", "label", "sig", "text").join(bounded(held, BROADCAST_ROWS), "bucket").select(*lefts.columns)
 
     def run(table: pa.Table) -> pa.Table:
-        def side(left: bool):
-            t = table.filter(pa.compute.equal(table["is_left"], left))
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, k)
-            return t["node"].to_pylist(), t["label"].to_pylist(), sig
-
-        (ln, ll, ls), (rn, rl, rs) = side(True), side(False)
-        u, v = [], []
-        for i, node in enumerate(ln):
-            for j in np.flatnonzero((rs == ls[i]).sum(axis=1) >= plan.likely * k):
-                if ll[i] != rl[j]:
-                    u.append(max(node, rn[j]))
-                    v.append(min(node, rn[j]))
+        left, right = (table.filter(pc.equal(table["is_left"], x)) for x in (True, False))
+        u, v = _joining(left, right, plan) if len(left) and len(right) else ([], [])
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
-    import pyarrow.compute  # noqa: F401  pa.compute is used in run
-
     return lefts.unionByName(rights).groupBy("bucket", "left_block", "right_block").applyInArrow(run, pair).distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """Rows (doc, node), and node with class_id for the nodes of more than one row."""
+    with scratch(docs.sparkSession) as keep:
+        rows, classes = _classed(docs, id_col, text_col, plan)
+        return keep(rows).select("doc", "node"), keep(classes)
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[DataFrame, DataFrame]:
     rows = written(signed(docs, id_col, text_col, plan), "dup-rows")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "dup-nodes")
     members = nodes.select("node", F.explode_outer("bands").alias("bucket")).where("bucket IS NOT NULL")
-    hubs = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hubs = written(hubs, "dup-hubs")
-    members = written(members.join(bounded(hubs, BROADCAST_ROWS), "bucket"), "dup-members")
+    full = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-buckets")
+    members = written(members.join(bounded(full, BROADCAST_ROWS), "bucket"), "dup-members")
+    central = bounded(written(members.groupBy("node").agg(F.sum("n").alias("met")), "dup-central"), BROADCAST_ROWS)
+    hubs = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high"))
+    hubs = written(hubs.select("bucket", F.col("hub.node").alias("hub"), "low", "high"), "dup-hubs")
 
     ordered = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
-    stars = members.select(F.col("node").alias("u"), F.explode(F.array("low", "high")).alias("v")).where("u <> v").select(*ordered).distinct()
+    stars = members.join(bounded(hubs, BROADCAST_ROWS), "bucket").select(F.col("node").alias("u"), F.explode(F.array_distinct(F.array("hub", "low", "high"))).alias("v")).where("u <> v").select(*ordered).distinct()
     likely = written(_agreeing(stars, nodes, plan), "dup-likely")
     links = written(_verified(likely, docs, rows, id_col, text_col, plan).select("u", "v"), "dup-links")
     # Rows with equal ids are one document, whatever their texts.
@@ -172,9 +216,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[D
     labels = written(components(links.unionByName(same)), "dup-labels")
 
     large = members.where("n > 3").select("bucket", "node")
-    more = written(_rest(large, labels, nodes, plan).join(likely, ["u", "v"], "left_anti"), "dup-rest")
+    more = written(_rest(large, labels, nodes, lambda some: _texts(some, docs, rows, id_col, text_col), plan), "dup-rest")
     if not more.isEmpty():
-        more = _verified(more, docs, rows, id_col, text_col, plan).select("u", "v")
         stars = labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
         labels = written(components(written(stars.unionByName(more), "dup-all-links")), "dup-labels")
 
@@ -184,7 +227,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[D
     counted = written(counted.select("node", F.coalesce("label", "node").alias("label"), "least"), "dup-counted")
     least = counted.groupBy("label").agg(F.min("least").alias("class_id"))
     least = bounded(written(least, "dup-least"), BROADCAST_ROWS)
-    return rows.select("doc", "node"), written(counted.join(least, "label").select("node", "class_id"), "dup-classes")
+    return rows, written(counted.join(least, "label").select("node", "class_id"), "dup-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan()) -> DataFrame:
@@ -192,8 +235,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are compared as sequences of lower-cased words. A text without words (null, empty, white
     space) has no copies and is a class of its own; a shorter text than a shingle is one shingle. Rows with
-    equal ids are one document. Null ids: class_id is that of the text's other rows, null if
-    there are none. Other columns are not read. An empty table gives no rows.
+    equal ids are one document. Null ids: class_id is that of equal texts' rows with an id, null if
+    there are none; their texts are not looked up for near copies. Other columns are not read. An empty table gives no rows.
     """
     rows, classes = _classes(docs, id_col, text_col, plan)
     rows = rows.join(bounded(classes, BROADCAST_ROWS), "node", "left")
@@ -213,6 +256,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if repeated.isEmpty():
         return rest.select(*docs.columns)
     once = rest.join(repeated, rest[id_col] == repeated["dup_doc"], "left_semi")
+    place = f"{free_prefix(docs.columns, 'dup_')}place"
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(*(F.col(c) for c in docs.columns if c != id_col)))
-    once = once.withColumn("dup_place", F.row_number().over(order)).where("dup_place = 1").select(*docs.columns)
+    once = once.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
     return rest.join(repeated, rest[id_col] == repeated["dup_doc"], "left_anti").select(*docs.columns).unionByName(once)
