@@ -83,6 +83,22 @@ def with_rules(rows: DataFrame, rules: list[tuple[str, str]], key: str) -> DataF
     return rows.join(best, key, "left")
 
 
+def _digamma(x: Column) -> Column:
+    y = x + 6
+    return F.log(y) - 0.5 / y - 1 / (12 * y * y) - sum((1 / (x + k) for k in range(1, 6)), 1 / x)
+
+
+def _trigamma(x: Column) -> Column:
+    y = x + 6
+    return 1 / y + 0.5 / (y * y) + 1 / (6 * y * y * y) + sum((1 / ((x + k) * (x + k)) for k in range(1, 6)), 1 / (x * x))
+
+
+def lower_bound(a: Column, b: Column, z: float) -> Column:
+    """A lower bound of a Beta(a, b) rate: z deviations below the mean of its logit, on the scale of rates."""
+    logit = _digamma(a) - _digamma(b) - z * F.sqrt(_trigamma(a) + _trigamma(b))
+    return 1 / (1 + F.exp(-logit))
+
+
 def _rho(units: DataFrame, limits: Limits) -> float:
     """How much units (n, bad) differ beyond chance from their parents' rates (mean), by moments."""
     chance = F.col("mean") * (1 - F.col("mean"))
@@ -113,11 +129,11 @@ def host_posteriors(hosts: DataFrame, outcomes: DataFrame, limits: Limits = Limi
 
     m = 1 / _rho(seen.join(domains, "domain").withColumn("mean", F.col("domain_rate")), limits) - 1
     rows = hosts.join(seen.select("host", "n", "bad"), "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
-    prior = F.coalesce("domain_rate", "suffix_rate", F.lit(everywhere))
+    prior = F.coalesce("domain_rate", "suffix_rate", F.lit(everywhere))  # inside (0, 1), as the first one is
     n, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
     a, b = bad + m * prior, n - bad + m * (1 - prior)
-    mean, spread = a / (a + b), F.sqrt(a * b / (F.pow(a + b, F.lit(2.0)) * (a + b + 1)))
-    return rows.select("host", n.alias("n_labelled"), bad.alias("n_bad"), mean.alias("posterior_mean"), F.greatest(F.lit(0.0), mean - limits.z * spread).alias("posterior_low"))
+    rows = rows.select("host", n.alias("n_labelled"), bad.alias("n_bad"), a.alias("a"), b.alias("b"))
+    return rows.select("host", "n_labelled", "n_bad", (F.col("a") / (F.col("a") + F.col("b"))).alias("posterior_mean"), lower_bound(F.col("a"), F.col("b"), limits.z).alias("posterior_low"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url", limits: Limits = Limits()) -> DataFrame:

@@ -334,13 +334,16 @@ class Scorer:
         self.m = model
         self.known = Vocabulary(model["folder"], model["sizes"])
         self.hot = {int(k): v for k, v in model["hot"].items()}
-        self.contexts = {int(k): v for k, v in model["hot_contexts"].items()}
         self.pair_files = set(model["pair_files"])
         self.files: dict[int, dict] = {}
         low, n = model["low"], model["low_counts"]
         self.low_rest = sum(d * c for d, c in zip(low, n, strict=True)) / model["low_total"] if model["low_total"] else 1.0
         self.high = np.array([0.0, *model["high"]])
         self.low = np.array([0.0, *low])
+        contexts = sorted((int(k), *v) for k, v in model["hot_contexts"].items())
+        self.hot_names = np.array([c[0] for c in contexts], np.uint64)
+        self.hot_total = np.array([c[1] for c in contexts], np.float64)
+        self.hot_rest = np.array([sum(d * x for d, x in zip(model["high"], c[2:], strict=True)) for c in contexts], np.float64)
 
     def low_order(self, contexts: np.ndarray) -> np.ndarray:
         """P(word) from continuation counts, interpolated with the uniform distribution over the words and one unknown."""
@@ -361,17 +364,17 @@ class Scorer:
             file, key = self.files[b], keys[chosen]
             count = _column(file["key"], file["count"], key).astype(np.int64)
             context = key >> _U(32)
-            names = file["context"].astype(np.uint64) if len(file["context"]) < 1 else file["context"]
+            names = file["context"]
             at = np.minimum(np.searchsorted(names, context.astype(names.dtype)), max(len(names) - 1, 0))
             fits = names[at] == context if len(names) else np.zeros(len(key), bool)
             total, rest = np.zeros(len(key)), np.ones(len(key))
             place = at[fits]
             total[fits] = file["total"][place]
             rest[fits] = self.high[1] * file["n1"][place] + self.high[2] * file["n2"][place] + self.high[3] * file["n3"][place]
-            for i in np.flatnonzero(~fits):
-                if (sums := self.contexts.get(int(context[i]))) is not None:
-                    total[i] = sums[0]
-                    rest[i] = self.high[1] * sums[1] + self.high[2] * sums[2] + self.high[3] * sums[3]
+            if len(self.hot_names):
+                at = np.minimum(np.searchsorted(self.hot_names, context), len(self.hot_names) - 1)
+                is_hot = self.hot_names[at] == context
+                total[is_hot], rest[is_hot] = self.hot_total[at[is_hot]], self.hot_rest[at[is_hot]]
             seen = total > 0
             p = low[chosen]
             p[seen] = np.maximum(count[seen] - self.high[np.minimum(count[seen], 3)], 0) / total[seen] + rest[seen] / total[seen] * p[seen]
