@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .storage import map_arrow
-from .textcols import IS_SPACE, blocks, code_points, hashes, per_row, windows, words
+from .textcols import IS_SPACE, blocks, code_points, count_true, hashes, per_row, windows, words
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -69,8 +69,7 @@ def _line_duplicates(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarra
     ends = np.concatenate((starts[1:], [len(data)]))
     ends = ends - (data[ends - 1] == 10)
     rows = np.searchsorted(offsets, starts, "right") - 1
-    ink = np.concatenate(([0], np.cumsum(~IS_SPACE[data])))
-    full = ink[ends] > ink[starts]
+    full = np.add.reduceat(~IS_SPACE[data], starts, dtype=np.int64) > 0
     starts, ends, rows = starts[full], ends[full], rows[full]
     key = hashes(data, starts, ends)
     order = np.lexsort((key, rows))
@@ -120,11 +119,10 @@ def report_block(data: np.ndarray, offsets: np.ndarray, bands: Bands, press) ->
     starts, ends, rows = words(data, offsets)
     hashed = hashes(data, starts, ends)
     n_words = per_row(rows, n)
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    chars = per_row(owner[code_points(data) & ~IS_SPACE[data]], n)
+    chars = count_true(code_points(data) & ~IS_SPACE[data], offsets)
     odd = np.zeros(256, bool)
     odd[list(SYMBOLS)] = True
-    symbols = per_row(owner[odd[data]], n)
+    symbols = count_true(odd[data], offsets)
     lines = _line_duplicates(data, offsets, n)
     repeats = _repeat_words(hashed, rows, n, bands.window)
     failed = (n_words < bands.least_words) | (100 * repeats > bands.most_repeat_percent * n_words)

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 #: Bytes that separate words: the class [\x20\x09-\x0D].
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BLOCK_BYTES = 2 << 20
+#: Bytes that are hashed together.
+HASHED_BYTES = 4 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
@@ -31,6 +33,7 @@ BYTE_KEYS = _randoms(11, 256)
 LOWER_KEYS = BYTE_KEYS.copy()
 LOWER_KEYS[65:91] = BYTE_KEYS[97:123]
 _NEAR, _FAR = _randoms(12, _SPAN), _randoms(13, _SPAN)
+_FAR[0] = 1  # a short range has the same hash beside a long one as without
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,7 +81,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray = BYTE_KEYS) -> np.ndarray:
-    """A 64-bit multilinear hash of each byte range; ranges are in order and don't overlap, gaps are free."""
+    """A 64-bit multilinear hash of each byte range; ranges are in order and don't overlap, gaps are free.
+
+    Ranges are taken together up to HASHED_BYTES at a time, so a very long text needs no more memory than that
+    beside its own bytes and ranges.
+    """
+    total = np.cumsum(ends - starts)
+    if len(starts) < 2 or total[-1] <= HASHED_BYTES:
+        return _hashes(data, starts, ends, keys)
+    cuts = np.flatnonzero(np.diff(total // HASHED_BYTES)) + 1
+    edges = [0, *cuts.tolist(), len(starts)]
+    return np.concatenate([_hashes(data, starts[a:b], ends[a:b], keys) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
@@ -97,6 +113,15 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndar
     return mix(out)
 
 
+def count_true(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text the mask holds."""
+    full = np.diff(offsets) > 0
+    out = np.zeros(len(offsets) - 1, np.int64)
+    if full.any():
+        out[full] = np.add.reduceat(mask, offsets[:-1][full], dtype=np.int64)
+    return out
+
+
 def windows(hashed: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of `size` neighbours in the same row, and the index where each begins."""
     n = len(hashed) - size + 1
