@@ -89,3 +89,25 @@ def induced(g: Graph, found: DataFrame) -> Graph:
     steps = steps.join(ids, "seg_id").select("path_id", "step_idx", F.col("new_id").alias("seg_id"), "fwd")
     paths = paths.select(F.col("new_id").alias("path_id"), "name", F.lit(None).cast("array<array<struct<len:int,op:string>>>").alias("overlaps"))
     return g.with_tables(segments=segments, links=links, paths=paths, steps=steps)
+
+
+def fill_gaps_in_turn(g: Graph, found: DataFrame, most: int, rounds: int) -> DataFrame:
+    """Gaps filled path after path, each seeing what those before it added, for a number of rounds.
+
+    The order matters for the result in rare cases, so the steps pass through the driver: for small graphs.
+    """
+    inside = {r["seg_id"] for r in found.collect()}
+    walks: dict[int, list[tuple[int, int]]] = {}
+    for r in positioned(g).orderBy("path_id", "step_idx").toLocalIterator():
+        walks.setdefault(r["path_id"], []).append((r["seg_id"], r["pos"]))
+    for _ in range(rounds):
+        for walk in walks.values():
+            gap, visited = [], False
+            for seg, pos in walk:
+                if seg not in inside:
+                    gap.append(seg)
+                    continue
+                if visited and gap and pos <= most:
+                    inside.update(gap)
+                gap, visited = [], True
+    return g.spark.createDataFrame([(s,) for s in sorted(inside)], "seg_id long")
