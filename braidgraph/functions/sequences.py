@@ -76,16 +76,6 @@ def format_number(value: float, digits: int = 2) -> str:
     return text.rstrip("0").rstrip(".") if "." in text else text
 
 
-def exact_decimal(value: Column, digits: int = 2) -> Column:
-    """format_number as a column: the double's exact decimal expansion is rounded half to even, then stripped.
-
-    A double below 2^53 has at most 52 binary places here, so 38 decimal digits tell ties apart.
-    """
-    text = F.bround(value.cast("decimal(38,20)"), digits).cast("string")
-    stripped = F.rtrim(text, F.lit("0"))
-    return F.when(F.isnan(value), "NaN").otherwise(F.rtrim(stripped, F.lit(".")))
-
-
 #: Codes of the export codec for nucleotides.
 NUCLEOTIDE_CODES = {"A": 1, "T": 2, "G": 3, "C": 4, "N": 5}
 
