@@ -4,9 +4,11 @@ A page becomes a stream of tokens: opening tags with their classes, closing tags
 Runs that repeat inside a page fold into repeated groups. The streams of a host are then aligned one
 after the other with the expression inferred so far: where both agree the token stays, a run that is
 a group's body on the other side joins the group, and any other mismatch becomes an optional group.
-There is no alternation. In the finished wrapper the main region is the container that holds most
-of the text outside menus, notices, adverts, forms and the like; extraction walks the page, keeps the
-text of that region, and leaves out what such containers hold inside it.
+There is no alternation. Every page is then matched against its host's finished wrapper, which gives each
+of its texts a slot. What a slot holds alike on all pages that have it is template text and left out, on
+the evidence of pages that differ otherwise; what varies stays. Extraction walks the page, keeps the
+text of the main region, and leaves out template blocks and what menus, notices, adverts, forms and the
+like hold inside it.
 
 Equal streams are counted once in every task, so a host with a third of all pages sends a few
 rows a task. Streams of a host are first merged in parts, then the parts are merged.
@@ -15,6 +17,7 @@ rows a task. Streams of a host are first merged in parts, then the parts are mer
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as entities
 import json
 import re
@@ -30,12 +33,20 @@ from .components import bounded
 from .host_reputation import host_of
 from .storage import map_arrow, scratch, written
 
-#: Wrappers are broadcast up to this number of hosts (about 1 kB each), else joined by a salted shuffle.
+#: Wrappers are broadcast up to this number of hosts and of characters, else joined by a salted shuffle.
 BROADCAST_HOSTS = 50_000
+BROADCAST_CHARS = 16_000_000
+#: Wrappers that a task holds ready at once.
+HELD_MATCHERS = 2_000
 SALTS = 32
 PARTS = 16
 #: Longest run of tokens that folds as one group.
 LONGEST_GROUP = 32
+#: A slot's text is template text if so many pages, and this share of the host's, have it and differ in at least
+#: half of their longest texts.
+LEAST_PAGES, LEAST_SHARE = 3, 0.1
+#: Pages that are kept as evidence for a slot, and texts that tell one page from another.
+EVIDENCE, LONGEST_TEXTS = 8, 4
 
 _RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title"
 TOKEN = re.compile(
@@ -54,6 +65,8 @@ OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead notice notices cookie cookies consent gdpr comment comments reply replies disqus discussion related recommended share sharing social subscribe subscription newsletter signup login popup modal overlay form search searchbox pagination pager widget toolbar skip alert complementary contentinfo".split()
 )
 MAIN = ("article", "main")
+#: Headings stay, alike or not: they belong to the text below them.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -217,6 +230,95 @@ def pattern(items: list) -> str:
     return " ".join(x if isinstance(x, str) else f"({pattern(x[1])}){x[0]}" for x in items)
 
 
+class Matcher:
+    """A wrapper as an automaton that gives every token of a page its place in the wrapper.
+
+    States are numbered in the order of the wrapper; a state after a token stands for the token. Sets of
+    states are worked out when a page first needs them.
+    """
+
+    def __init__(self, items: list):
+        self.after: list[tuple[str, int] | None] = [None]  # the token that leaves a state, and the state after it
+        self.free: list[list[int]] = [[]]  # states reached without a token
+        self.last = self._built(items, 0)
+        self.reached: dict[int, tuple[int, ...]] = {}
+        self.sets: dict[tuple[int, ...], int] = {(0,): 0}
+        self.members: list[tuple[int, ...]] = [(0,)]
+        self.steps: dict[tuple[int, str], int] = {}
+        self.backs: dict[tuple[int, int], int] = {}
+
+    def _state(self) -> int:
+        self.after.append(None)
+        self.free.append([])
+        return len(self.free) - 1
+
+    def _built(self, items: list, at: int) -> int:
+        for x in items:
+            start, at = at, self._state()
+            if isinstance(x, str):
+                self.free[start].append(at)
+                end = self._state()
+                self.after[at] = (x, end)
+                at = end
+                continue
+            self.free[start].append(at)
+            body, at = at, self._built(x[1], at)
+            end = self._state()
+            self.free[at].append(end)
+            if x[0] == "?":
+                self.free[body].append(end)
+            else:
+                self.free[at].append(body)
+            at = end
+        return at
+
+    def _open(self, state: int) -> tuple[int, ...]:
+        """The states with a token, or the last one, that a state reaches without a token."""
+        if state not in self.reached:
+            seen, todo = {state}, [state]
+            while todo:
+                for t in self.free[todo.pop()]:
+                    if t not in seen:
+                        seen.add(t)
+                        todo.append(t)
+            self.reached[state] = tuple(sorted(t for t in seen if self.after[t] or t == self.last))
+        return self.reached[state]
+
+    def _step(self, here: int, token: str) -> int:
+        found = {self.after[t][1] for s in self.members[here] for t in self._open(s) if self.after[t] and self.after[t][0] == token}
+        states = tuple(sorted(found))
+        if states not in self.sets:
+            self.sets[states] = len(self.members)
+            self.members.append(states)
+        self.steps[here, token] = n = self.sets[states]
+        return n
+
+    def _back(self, before: int, state: int) -> int:
+        found = next(s for s in self.members[before] if any(self.after[t] and self.after[t][1] == state for t in self._open(s)))
+        self.backs[before, state] = found
+        return found
+
+    def places(self, stream: list[str]) -> list[int] | None:
+        """The place of every token; None if the wrapper doesn't match the page."""
+        here, path, steps, backs = 0, [0], self.steps, self.backs
+        for token in stream:
+            n = steps.get((here, token))
+            here = self._step(here, token) if n is None else n
+            if not self.members[here]:
+                return None
+            path.append(here)
+        state = next((s for s in self.members[here] if self.last in self._open(s)), None)
+        if state is None:
+            return None
+        out = []
+        for before in reversed(path[:-1]):
+            out.append(state)
+            s = backs.get((before, state))
+            state = self._back(before, state) if s is None else s
+        out.reverse()
+        return out
+
+
 def stream_of(page: str, al: Alphabet) -> tuple[str, Counter]:
     """The folded stream of a page, and how much text outside of menus and the like each container holds."""
     out, mass, walk = [], Counter(), _Walk()
@@ -250,41 +352,76 @@ def region(mass: dict[str, int]) -> str:
     return min(held, key=lambda t: (named[t], t)) if held and most else ""
 
 
-def extract(page: str, main: str) -> str:
-    """The text of the main region of a page; of the whole body if the page doesn't have it."""
-    found, seen = _blocks(page, main)
+def extract(page: str, main: str, matcher: Matcher | None = None, template: dict[int, set[str]] | None = None) -> str:
+    """The text of the main region of a page, without template text; of the whole body if the page doesn't have it."""
+    found, seen = _blocks(page, main, matcher if template else None)
     if main and not seen:
         for name in MAIN:
-            found, seen = _blocks(page, name)
+            found, seen = _blocks(page, name, matcher if template else None)
             if seen:
                 break
         else:
-            found, _ = _blocks(page, "")
-    return "\n".join(found)
+            found, _ = _blocks(page, "", matcher if template else None)
+    return "\n".join(b.text for b in found if not template or b.heading or not b.is_template(template))
+
 
+class _Block:
+    """A block's text, whether it is a heading, and its texts with their slots (-1: none)."""
 
-def _blocks(page: str, main: str) -> tuple[list[str], bool]:
-    walk, out, part, seen = _Walk(), [], [], not main
+    def __init__(self, text: str, heading: bool, slots: list[tuple[int, str]]):
+        self.text, self.heading, self.slots = text, heading, slots
+
+    def is_template(self, template: dict[int, set[str]]) -> bool:
+        """Constant words inside a block that varies stay with it."""
+        return all(slot in template and digest(text) in template[slot] for slot, text in self.slots)
+
+
+def digest(text: str) -> str:
+    return hashlib.blake2b(" ".join(text.split()).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _flat(page: str) -> list[tuple[str, str, str, str]]:
+    """The tokens of a page, each with how the stream names it; '' for blank text, which is not in the stream."""
+    out = []
+    for kind, name, rest in tokens(page):
+        if kind == "text":
+            out.append((kind, name, rest, "#text" if rest.strip() else ""))
+        else:
+            out.append((kind, name, rest, f"<{label(name, rest)}>" if kind == "open" else f"</{name}>"))
+    return out
+
+
+def _blocks(page: str, main: str, matcher: Matcher | None = None) -> tuple[list[_Block], bool]:
+    walk, out, part, slots, seen = _Walk(), [], [], [], not main
     depth = -1 if main else 0  # how many containers are open around the region
+    heading = False
+    flat = _flat(page)
+    places = matcher and matcher.places([x[3] for x in flat if x[3]])
+    place = iter(places) if places else None
 
     def flush() -> None:
         if part:
             text = " ".join(entities.unescape("".join(part)).split())
-            part.clear()
             if text:
-                out.append(text)
+                out.append(_Block(text, heading, slots.copy()))
+            part.clear()
+            slots.clear()
 
-    for kind, name, rest in tokens(page):
+    for kind, name, rest, token in flat:
+        slot = next(place) if place and token else -1
         if kind == "text":
             if depth >= 0 and not walk.outside:
                 part.append(rest)
+                if token:
+                    slots.append((slot, rest))
             continue
         if name in BLOCKS:
             flush()
+            heading = kind == "open" and name in HEADINGS
         elif name == "br":
             part.append(" ")
         if kind == "open":
-            tag = label(name, rest)
+            tag = token[1:-1]
             before = len(walk.stack)
             walk.open(name, tag)
             if depth < 0 and tag == main and not walk.outside:
@@ -297,6 +434,80 @@ def _blocks(page: str, main: str) -> tuple[list[str], bool]:
     return out, seen
 
 
+class Slots:
+    """What the slots of a wrapper hold alike on all pages seen, and pages as evidence; mergeable in any order."""
+
+    def __init__(self):
+        self.same: dict[int, set[str]] = {}  # texts on every page that has the slot; empty for a slot that varies
+        self.pages: dict[int, set[str]] = {}  # the least of the pages' keys, for slots that don't vary
+        self.counts: Counter = Counter()  # the pages that have a slot that doesn't vary; at -1 all pages
+
+    def see(self, blocks: list[_Block]) -> None:
+        texts = [(slot, text) for b in blocks if not b.heading for slot, text in b.slots]
+        longest = sorted({" ".join(text.split()) for _, text in texts}, key=lambda t: (-len(t), t))[:LONGEST_TEXTS]
+        key = json.dumps([[digest(t), len(t)] for t in longest])
+        held: dict[int, list[str]] = {}
+        for slot, text in texts:
+            if slot >= 0 and self.same.get(slot, True):
+                held.setdefault(slot, []).append(text)
+        for slot, found in held.items():
+            self._add(slot, set(map(digest, found)), {key}, 1)
+        self.counts[-1] += 1
+
+    def _add(self, slot: int, texts: set[str], pages: set[str], n: int) -> None:
+        both = self.same[slot] & texts if slot in self.same else texts
+        self.same[slot] = both
+        if both:
+            self.pages[slot] = set(sorted(self.pages.get(slot, set()) | pages, key=_dealt)[:EVIDENCE])
+            self.counts[slot] += n
+        else:
+            self.pages.pop(slot, None)
+
+    def merge(self, text: str) -> None:
+        total, slots = json.loads(text)
+        self.counts[-1] += total
+        for slot, texts, pages, n in slots:
+            self._add(slot, set(texts), set(pages), n)
+
+    def dumps(self) -> str:
+        return json.dumps([self.counts[-1], [[slot, sorted(texts), sorted(self.pages.get(slot, ())), self.counts[slot]] for slot, texts in sorted(self.same.items())]])
+
+    def template(self) -> dict[int, set[str]]:
+        """The texts to leave out, by slot. Copies of one page, or nearly, are no evidence."""
+        able = {slot: texts for slot, texts in self.same.items() if texts and len(self.pages[slot]) >= LEAST_PAGES and self.counts[slot] >= LEAST_SHARE * self.counts[-1]}
+        constant = set().union(*able.values())
+        out = {}
+        for slot, texts in able.items():
+            others = set()
+            for page in self.pages[slot]:
+                longest = json.loads(page)
+                own = [(d, n) for d, n in longest if d not in constant]
+                if own and 2 * sum(n for _, n in own) >= sum(n for _, n in longest):
+                    others.add(tuple(own))
+            if len(others) >= LEAST_PAGES:
+                out[slot] = texts
+        return out
+
+
+def _dealt(key: str) -> str:
+    return hashlib.blake2b(key.encode(), digest_size=8).hexdigest()
+
+
+class _Matchers:
+    """The matchers of the hosts that a task last met."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def get(self, host: str, expression: str | None, template: str | None = None) -> tuple[Matcher | None, dict]:
+        if host not in self.held:
+            if len(self.held) >= HELD_MATCHERS:
+                self.held.clear()
+            known = {int(k): set(v) for k, v in json.loads(template).items()} if template else {}
+            self.held[host] = (Matcher(json.loads(expression)) if expression else None, known)
+        return self.held[host]
+
+
 WRAPPER = T.StructType([T.StructField("host", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("stream", T.StringType()), T.StructField("mass", T.StringType()), T.StructField("n_pages", T.LongType())])
 
 
@@ -313,7 +524,7 @@ def _merged(group: pa.Table, part: int | None) -> pa.Table:
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (the expression as text), main (the main region) and n_pages, one row a host, from all its pages."""
+    """host, wrapper (the expression as text), expression (as JSON), main (the main region) and n_pages, one row a host, from all its pages."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al, found = Alphabet(), {}
@@ -346,9 +557,9 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
             if b.num_rows:
                 wrappers = [pattern(json.loads(x)) for x in b.column(2).to_pylist()]
                 mains = [region(json.loads(x)) for x in b.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wrappers), pa.array(mains), b.column(4)], ["host", "wrapper", "main", "n_pages"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wrappers), b.column(2), pa.array(mains), b.column(4)], ["host", "wrapper", "expression", "main", "n_pages"])
 
-    return map_arrow(whole, named, "host string, wrapper string, main string, n_pages long")
+    return map_arrow(whole, named, "host string, wrapper string, expression string, main string, n_pages long")
 
 
 def hash_part(text: str) -> int:
@@ -357,6 +568,49 @@ def hash_part(text: str) -> int:
     return zlib.crc32(text.encode("utf-8")) % PARTS
 
 
+def _with_wrappers(pages: DataFrame, wrappers: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """Id, URL and page with w_own (the host) and the columns of its wrapper, which are named w_..., one being w_host."""
+    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(F.col(url_col)).alias("w_own"))
+    others = [F.length(c) for c in wrappers.columns if c != "w_host"]
+    hosts, chars = wrappers.agg(F.count("*"), F.coalesce(F.sum(sum(others, F.lit(0))), F.lit(0))).first()
+    if hosts <= BROADCAST_HOSTS and chars <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(wrappers), F.col("w_own") == F.col("w_host"), "left")
+    salted = wrappers.withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64(id_col, url_col), F.lit(SALTS)).cast("int")
+    return rows.withColumn("w_own_salt", own).join(salted, (F.col("w_own") == F.col("w_host")) & (F.col("w_own_salt") == F.col("w_salt")), "left")
+
+
+def templates(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """w_host and w_template, the texts to leave out by slot as JSON, one row a host: from all its pages, matched against its wrapper."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers, found = _Matchers(), {}
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array([x.dumps() for x in found.values()])], ["w_host", "w_template"])
+
+        for b in batches:
+            for host, page, expression in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                matcher, _ = matchers.get(host, expression)
+                found.setdefault(host, Slots()).see(_blocks(page.as_py() or "", "", matcher)[0])
+            if len(found) > 5_000:
+                yield sent()
+                found = {}
+        if found:
+            yield sent()
+
+    def merged(group: pa.Table) -> pa.Table:
+        slots = Slots()
+        for text in group["w_template"].to_pylist():
+            slots.merge(text)
+        chosen = json.dumps({slot: sorted(texts) for slot, texts in sorted(slots.template().items())})
+        return pa.table([pa.array([group["w_host"][0].as_py()], pa.string()), pa.array([chosen], pa.string())], names=["w_host", "w_template"])
+
+    rows = _with_wrappers(pages, wrappers.select("w_host", "w_expression"), id_col, url_col, html_col)
+    schema = "w_host string, w_template string"
+    return map_arrow(rows.select("w_own", html_col, "w_expression"), seen, schema).groupBy("w_host").applyInArrow(merged, schema)
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: its id, its url, text (blocks joined by line feeds, empty if none), n_chars.
 
@@ -364,20 +618,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Rows with equal ids are extracted one by one; other columns are not read; an empty table gives no rows.
     """
     with scratch(pages.sparkSession) as keep:
-        wrappers = keep(written(infer(pages, url_col, html_col), "wrappers"))
-    wrappers = wrappers.select(F.col("host").alias("w_host"), F.col("main").alias("w_main"))
-    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(F.col(url_col)).alias("w_own"))
-    if wrappers.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        rows = rows.join(F.broadcast(wrappers), F.col("w_own") == F.col("w_host"), "left")
-    else:
-        salted = wrappers.withColumn("w_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = F.pmod(F.xxhash64(id_col, url_col), F.lit(SALTS)).cast("int")
-        rows = rows.withColumn("w_own_salt", own).join(salted, (F.col("w_own") == F.col("w_host")) & (F.col("w_own_salt") == F.col("w_salt")), "left")
+        wrappers = written(infer(pages, url_col, html_col), "wrappers").select(F.col("host").alias("w_host"), F.col("main").alias("w_main"), F.col("expression").alias("w_expression"))
+        known = templates(pages, wrappers, id_col, url_col, html_col)
+        rules = keep(written(wrappers.join(known, "w_host", "left"), "wrapper-rules"))
+    rows = _with_wrappers(pages, rules, id_col, url_col, html_col)
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField(url_col, pages.schema[url_col].dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = _Matchers()
         for b in batches:
-            texts = [extract(page.as_py() or "", main or "") for page, main in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+            hosts, mains, expressions, known = (b.column(i).to_pylist() for i in range(3, 7))
+            texts = [extract(page.as_py() or "", main or "", *matchers.get(host, e, t)) for page, host, main, e, t in zip(b.column(2), hosts, mains, expressions, known, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema.names)
 
-    return map_arrow(rows.select(id_col, url_col, html_col, "w_main"), run, schema)
+    return map_arrow(rows.select(id_col, url_col, html_col, "w_own", "w_main", "w_expression", "w_template"), run, schema)

@@ -100,3 +100,27 @@ def test_odd_rows(spark):
     got = w.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got) == [("1", "", 0), ("2", "", 0), ("2", "", 0), ("3", "x", 1), ("None", "y", 1)]
     assert w.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def texts_of(spark, pages):
+    rows = w.main_text(spark.createDataFrame([(i, "http://h.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string"))
+    return [r["text"] for r in rows.orderBy("page_id").collect()]
+
+
+def test_slots_that_hold_the_same_on_all_pages_go(spark):
+    draw = random.Random(11)
+    own = [[f"Words {draw.random()} of page {i} and more {draw.random()}" for _ in range(draw.randint(1, 4))] for i in range(12)]
+    box = [i % 2 == 0 for i in range(12)]  # an optional group
+    pages = [f"<body><article><h2>About</h2><div class=x>Read all about it here</div>{''.join(f'<p><b>Note</b> {t}</p>' for t in o)}{'<div class=y><p>Posted on this site</p></div>' if b else ''}<p>All rights kept</p></article></body>" for o, b in zip(own, box, strict=True)]
+    assert texts_of(spark, pages) == ["\n".join(["About", *(f"Note {t}" for t in o)]) for o in own]
+    # A few copies of a page, or nearly, are no evidence, and neither are two pages.
+    copies = ["<article><p>The whole of the only text, that is copied</p><p>Another one that is copied too</p></article>".replace("too", t) for t in ("too", "too", "a", "b", "c")]
+    assert all(t.startswith("The whole") for t in texts_of(spark, copies))
+    assert [t.split("\n")[-1] for t in texts_of(spark, pages[:2])] == ["All rights kept"] * 2
+
+
+def test_places_in_a_wrapper():
+    m = w.Matcher(["a", ["?", ["b", ["+", ["#text"]]]], ["+", ["c", "#text"]], "#text"])
+    one, many = m.places(["a", "c", "#text", "#text"]), m.places(["a", "b", "#text", "#text", "c", "#text", "c", "#text", "#text"])
+    assert one[1:] == many[-3:] and many[2] == many[3] and many[4] == many[6] and many[5] == many[7] != many[8]
+    assert m.places(["a"]) is None and m.places(["b"]) is None
