@@ -6,9 +6,9 @@ after the other with the expression inferred so far: where both agree the token
 a group's body on the other side joins the group, and any other mismatch becomes an optional group.
 There is no alternation. Every page is then matched against its host's finished wrapper, which gives each
 of its texts a slot. What a slot holds alike on all pages that have it is template text and left out, on
-the evidence of pages that differ otherwise; what varies stays. Extraction walks the page, keeps the
-text of the main region, and leaves out template blocks and what menus, notices, adverts, forms and the
-like hold inside it.
+the evidence of pages that differ otherwise; what varies stays. Extraction walks the page and leaves out
+template blocks and what menus, notices, adverts, forms and the like hold. Text outside of article and
+main elements goes only from a page where these hold nearly all of the rest.
 
 Equal streams are counted once in every task, so a host with a third of all pages sends a few
 rows a task. Streams of a host are first merged in parts, then the parts are merged.
@@ -65,6 +65,8 @@ OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead notice notices cookie cookies consent gdpr comment comments reply replies disqus discussion related recommended share sharing social subscribe subscription newsletter signup login popup modal overlay form search searchbox pagination pager widget toolbar skip alert complementary contentinfo".split()
 )
 MAIN = ("article", "main")
+#: Share of a page's text that its article and main elements must hold for the rest to go.
+NEARLY_ALL = 0.95
 #: Headings stay, alike or not: they belong to the text below them.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -112,19 +114,22 @@ class _Walk:
     """The open containers while walking a page."""
 
     def __init__(self):
-        self.stack: list[tuple[str, str, bool]] = []  # name, tag, outside by itself
-        self.outside = 0
+        self.stack: list[tuple[str, str, bool, bool]] = []  # name, tag, outside by itself, marked as main
+        self.outside = self.marked = 0
 
     def open(self, name: str, tag: str) -> None:
         if name in CONTAINERS or name in OUTSIDE and name not in ("input",):
             out = is_outside(tag)
-            self.stack.append((name, tag, out))
+            marked = name in MAIN or "@main" in tag
+            self.stack.append((name, tag, out, marked))
             self.outside += out
+            self.marked += marked
 
     def close(self, name: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == name:
                 self.outside -= sum(x[2] for x in self.stack[i:])
+                self.marked -= sum(x[3] for x in self.stack[i:])
                 del self.stack[i:]
                 return
 
@@ -353,23 +358,19 @@ def region(mass: dict[str, int]) -> str:
 
 
 def extract(page: str, main: str, matcher: Matcher | None = None, template: dict[int, set[str]] | None = None) -> str:
-    """The text of the main region of a page, without template text; of the whole body if the page doesn't have it."""
-    found, seen = _blocks(page, main, matcher if template else None)
-    if main and not seen:
-        for name in MAIN:
-            found, seen = _blocks(page, name, matcher if template else None)
-            if seen:
-                break
-        else:
-            found, _ = _blocks(page, "", matcher if template else None)
-    return "\n".join(b.text for b in found if not template or b.heading or not b.is_template(template))
+    """The text of a page without template text; of its article and main elements alone if they hold nearly all of it."""
+    found = [b for b in _blocks(page, matcher if template else None) if not template or b.heading or not b.is_template(template)]
+    marked = [b for b in found if b.marked]
+    if marked and sum(len(b.text) for b in marked) >= NEARLY_ALL * sum(len(b.text) for b in found):
+        found = marked
+    return "\n".join(b.text for b in found)
 
 
 class _Block:
-    """A block's text, whether it is a heading, and its texts with their slots (-1: none)."""
+    """A block's text, whether it is a heading, and inside an article or main, and its texts with their slots (-1: none)."""
 
-    def __init__(self, text: str, heading: bool, slots: list[tuple[int, str]]):
-        self.text, self.heading, self.slots = text, heading, slots
+    def __init__(self, text: str, heading: bool, marked: bool, slots: list[tuple[int, str]]):
+        self.text, self.heading, self.marked, self.slots = text, heading, marked, slots
 
     def is_template(self, template: dict[int, set[str]]) -> bool:
         """Constant words inside a block that varies stay with it."""
@@ -391,9 +392,8 @@ def _flat(page: str) -> list[tuple[str, str, str, str]]:
     return out
 
 
-def _blocks(page: str, main: str, matcher: Matcher | None = None) -> tuple[list[_Block], bool]:
-    walk, out, part, slots, seen = _Walk(), [], [], [], not main
-    depth = -1 if main else 0  # how many containers are open around the region
+def _blocks(page: str, matcher: Matcher | None = None) -> list[_Block]:
+    walk, out, part, slots = _Walk(), [], [], []
     heading = False
     flat = _flat(page)
     places = matcher and matcher.places([x[3] for x in flat if x[3]])
@@ -403,14 +403,14 @@ def _blocks(page: str, main: str, matcher: Matcher | None = None) -> tuple[list[
         if part:
             text = " ".join(entities.unescape("".join(part)).split())
             if text:
-                out.append(_Block(text, heading, slots.copy()))
+                out.append(_Block(text, heading, walk.marked > 0, slots.copy()))
             part.clear()
             slots.clear()
 
     for kind, name, rest, token in flat:
         slot = next(place) if place and token else -1
         if kind == "text":
-            if depth >= 0 and not walk.outside:
+            if not walk.outside:
                 part.append(rest)
                 if token:
                     slots.append((slot, rest))
@@ -421,17 +421,11 @@ def _blocks(page: str, main: str, matcher: Matcher | None = None) -> tuple[list[
         elif name == "br":
             part.append(" ")
         if kind == "open":
-            tag = token[1:-1]
-            before = len(walk.stack)
-            walk.open(name, tag)
-            if depth < 0 and tag == main and not walk.outside:
-                depth, seen = before, True
+            walk.open(name, token[1:-1])
         else:
             walk.close(name)
-            if main and depth >= 0 and len(walk.stack) <= depth:
-                depth = -1
     flush()
-    return out, seen
+    return out
 
 
 class Slots:
@@ -592,7 +586,7 @@ def templates(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", ur
         for b in batches:
             for host, page, expression in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 matcher, _ = matchers.get(host, expression)
-                found.setdefault(host, Slots()).see(_blocks(page.as_py() or "", "", matcher)[0])
+                found.setdefault(host, Slots()).see(_blocks(page.as_py() or "", matcher))
             if len(found) > 5_000:
                 yield sent()
                 found = {}

@@ -124,3 +124,19 @@ def test_places_in_a_wrapper():
     one, many = m.places(["a", "c", "#text", "#text"]), m.places(["a", "b", "#text", "#text", "c", "#text", "c", "#text", "#text"])
     assert one[1:] == many[-3:] and many[2] == many[3] and many[4] == many[6] and many[5] == many[7] != many[8]
     assert m.places(["a"]) is None and m.places(["b"]) is None
+
+
+def test_all_blocks_of_an_article_stay(spark):
+    draw = random.Random(12)
+
+    def words(n):
+        return " ".join(str(draw.random()) for _ in range(n))
+
+    parts = [(words(11), words(9)) for _ in range(8)]
+    split = [f"<body><nav>Menu</nav><div id=content><section class=a>{a}</section><section class=b>{b}</section></div></body>" for a, b in parts]
+    assert texts_of(spark, split) == [f"{a}\n{b}" for a, b in parts]
+    beside = [f"<body><article class=one>{a}</article><article class=two>{b}</article><div>{a[:9]}</div></body>" for a, b in parts]
+    assert texts_of(spark, beside) == [f"{a}\n{b}" for a, b in parts]
+    # Long pages of another template don't decide for short ones.
+    mixed = [f"<body><table><tr><td>{words(900)}</td></tr></table></body>" for _ in range(3)] + [f"<body><p>{a}</p><table><tr><td>{b[:20]}</td></tr></table></body>" for a, b in parts]
+    assert texts_of(spark, mixed)[3:] == [f"{a}\n{b[:20]}" for a, b in parts]
