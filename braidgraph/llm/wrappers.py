@@ -59,11 +59,13 @@ WORD = re.compile(r"[a-z]+")
 
 CONTAINERS = frozenset("article aside blockquote body dd details dialog div dl fieldset figure footer form header li main menu nav ol section table tbody td th thead tfoot tr ul".split())
 BLOCKS = CONTAINERS | frozenset("address center dt figcaption h1 h2 h3 h4 h5 h6 hr html head legend p pre summary caption option".split())
-#: Elements that never hold main text, and words in class, id or role that say the same of any element.
+#: Elements that never hold main text; words that, as a whole name in class, id or role, say the same of other containers;
+#: and words that such a name may have besides (ad-box, but not ad-free or has-sidebar).
 OUTSIDE = frozenset("nav aside footer form menu dialog head button label input".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead notice notices cookie cookies consent gdpr comment comments reply replies disqus discussion related recommended share sharing social subscribe subscription newsletter signup login popup modal overlay form search searchbox pagination pager widget toolbar skip alert complementary contentinfo".split()
 )
+BESIDE_WORDS = frozenset("bar block bottom box container inner item items list site slot top unit wrap wrapper".split())
 MAIN = ("article", "main")
 #: Share of a page's text that its article and main elements must hold for the rest to go.
 NEARLY_ALL = 0.95
@@ -102,25 +104,35 @@ def label(name: str, attributes: str) -> str:
     return out
 
 
-def is_outside(tag: str) -> bool:
-    """Whether what an element holds is never main text."""
-    name, *_ = re.split(r"[.#@]", tag, maxsplit=1)
+def is_outside(tag: str, kept: frozenset[str] = frozenset()) -> bool:
+    """Whether what an element holds is never main text. Words say so of no body, article, main, or container in kept."""
+    name, *names = re.split(r"[.#@]", tag)
     if name in OUTSIDE:
         return True
-    return len(tag) > len(name) and any(w in OUTSIDE_WORDS for w in WORD.findall(tag[len(name) :]))
+    if not names or name == "body" or _is_main(name, tag) or tag in kept:
+        return False
+    for words in map(WORD.findall, names):
+        if any(w in OUTSIDE_WORDS for w in words) and all(w in OUTSIDE_WORDS or w in BESIDE_WORDS for w in words):
+            return True
+    return False
+
+
+def _is_main(name: str, tag: str) -> bool:
+    return name in MAIN or "@" in tag and "@main" in re.findall("[.#@][^.#@]*", tag)
 
 
 class _Walk:
     """The open containers while walking a page."""
 
-    def __init__(self):
+    def __init__(self, kept: frozenset[str] = frozenset()):
+        self.kept = kept
         self.stack: list[tuple[str, str, bool, bool]] = []  # name, tag, outside by itself, marked as main
         self.outside = self.marked = 0
 
     def open(self, name: str, tag: str) -> None:
         if name in CONTAINERS or name in OUTSIDE and name not in ("input",):
-            out = is_outside(tag)
-            marked = name in MAIN or "@main" in tag
+            out = is_outside(tag, self.kept)
+            marked = _is_main(name, tag)
             self.stack.append((name, tag, out, marked))
             self.outside += out
             self.marked += marked
@@ -325,41 +337,57 @@ class Matcher:
 
 
 def stream_of(page: str, al: Alphabet) -> tuple[str, Counter]:
-    """The folded stream of a page, and how much text outside of menus and the like each container holds."""
-    out, mass, walk = [], Counter(), _Walk()
+    """The folded stream of a page, and what share of its text, in parts of 10 000, the largest container of each tag
+    holds; at '' the whole. Text in menus and the like counts only where a word, not the element, says so; if article or
+    main elements have text, only containers around or inside of them count."""
+    out, closed, stack, hard, main, total = [], [], [], 0, 0, 0
     for kind, name, rest in tokens(page):
         if kind == "text":
             if not rest.strip():
                 continue
             out.append("#text")
-            if not walk.outside:
-                for tag in {x[1] for x in walk.stack}:
-                    mass[tag] += len(rest)
+            if not hard:
+                total += len(rest)
+                for x in stack:
+                    x[2] += len(rest)
+                    x[3] |= main > 0
         elif kind == "open":
             tag = label(name, rest)
             out.append(f"<{tag}>")
-            walk.open(name, tag)
+            if name in CONTAINERS or name in OUTSIDE and name != "input":
+                stack.append([name, tag, 0, False])
+                hard += name in OUTSIDE
+                main += _is_main(name, tag)
         else:
             out.append(f"</{name}>")
-            walk.close(name)
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if i is not None:
+                hard -= sum(x[0] in OUTSIDE for x in stack[i:])
+                main -= sum(_is_main(x[0], x[1]) for x in stack[i:])
+                closed += stack[i:]
+                del stack[i:]
+    closed = [x for x in closed + stack if x[2]]
+    marked, mass = any(x[3] for x in closed), Counter()
+    for _, tag, size, near in closed:
+        if near or not marked:
+            mass[tag] = max(mass[tag], 10_000 * size // total)
+    if total:
+        mass[""] = 10_000
     return fold("".join(map(al.letter, out)), al), mass
 
 
 def region(mass: dict[str, int]) -> str:
-    """The container of the main text: an article or main element if one holds half of the text of the body,
-    else the container with least text that still holds half of it; '' is the whole page."""
-    named = {t: m for t, m in mass.items() if not is_outside(t)}
-    most = max(named.values(), default=0)
-    marked = [t for t, m in named.items() if (re.split(r"[.#@]", t)[0] in MAIN or "@main" in t) and 2 * m >= most]
-    if marked:
-        return min(marked, key=lambda t: (-named[t], t))
-    held = [t for t, m in named.items() if 2 * m >= most and re.split(r"[.#@]", t)[0] not in ("body", "li", "tr", "tbody")]
-    return min(held, key=lambda t: (named[t], t)) if held and most else ""
+    """The containers, by tag and with spaces between, that hold most of the text of a host's pages; every page counts
+    alike. No word in their names says that they are outside."""
+    return " ".join(sorted(t for t, m in mass.items() if t and 2 * m > mass[""] and re.split(r"[.#@]", t)[0] not in OUTSIDE))
 
 
 def extract(page: str, main: str, matcher: Matcher | None = None, template: dict[int, set[str]] | None = None) -> str:
-    """The text of a page without template text; of its article and main elements alone if they hold nearly all of it."""
-    found = [b for b in _blocks(page, matcher if template else None) if not template or b.heading or not b.is_template(template)]
+    """The text of a page without template text; of its article and main elements alone if they hold nearly all of it.
+
+    main: the tags of containers that are never outside by a word, with spaces between.
+    """
+    found = [b for b in _blocks(page, main, matcher if template else None) if not template or b.heading or not b.is_template(template)]
     marked = [b for b in found if b.marked]
     if marked and sum(len(b.text) for b in marked) >= NEARLY_ALL * sum(len(b.text) for b in found):
         found = marked
@@ -392,8 +420,8 @@ def _flat(page: str) -> list[tuple[str, str, str, str]]:
     return out
 
 
-def _blocks(page: str, matcher: Matcher | None = None) -> list[_Block]:
-    walk, out, part, slots = _Walk(), [], [], []
+def _blocks(page: str, main: str, matcher: Matcher | None = None) -> list[_Block]:
+    walk, out, part, slots = _Walk(frozenset(main.split())), [], [], []
     heading = False
     flat = _flat(page)
     places = matcher and matcher.places([x[3] for x in flat if x[3]])
@@ -518,7 +546,7 @@ def _merged(group: pa.Table, part: int | None) -> pa.Table:
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (the expression as text), expression (as JSON), main (the main region) and n_pages, one row a host, from all its pages."""
+    """host, wrapper (the expression as text), expression (as JSON), main (the containers that hold most text) and n_pages, one row a host, from all its pages."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al, found = Alphabet(), {}
@@ -584,9 +612,9 @@ def templates(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", ur
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array([x.dumps() for x in found.values()])], ["w_host", "w_template"])
 
         for b in batches:
-            for host, page, expression in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for host, page, expression, main in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 matcher, _ = matchers.get(host, expression)
-                found.setdefault(host, Slots()).see(_blocks(page.as_py() or "", matcher))
+                found.setdefault(host, Slots()).see(_blocks(page.as_py() or "", main or "", matcher))
             if len(found) > 5_000:
                 yield sent()
                 found = {}
@@ -600,9 +628,9 @@ def templates(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", ur
         chosen = json.dumps({slot: sorted(texts) for slot, texts in sorted(slots.template().items())})
         return pa.table([pa.array([group["w_host"][0].as_py()], pa.string()), pa.array([chosen], pa.string())], names=["w_host", "w_template"])
 
-    rows = _with_wrappers(pages, wrappers.select("w_host", "w_expression"), id_col, url_col, html_col)
+    rows = _with_wrappers(pages, wrappers.select("w_host", "w_main", "w_expression"), id_col, url_col, html_col)
     schema = "w_host string, w_template string"
-    return map_arrow(rows.select("w_own", html_col, "w_expression"), seen, schema).groupBy("w_host").applyInArrow(merged, schema)
+    return map_arrow(rows.select("w_own", html_col, "w_expression", "w_main"), seen, schema).groupBy("w_host").applyInArrow(merged, schema)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -140,3 +140,14 @@ def test_all_blocks_of_an_article_stay(spark):
     # Long pages of another template don't decide for short ones.
     mixed = [f"<body><table><tr><td>{words(900)}</td></tr></table></body>" for _ in range(3)] + [f"<body><p>{a}</p><table><tr><td>{b[:20]}</td></tr></table></body>" for a, b in parts]
     assert texts_of(spark, mixed)[3:] == [f"{a}\n{b[:20]}" for a, b in parts]
+
+
+def test_a_word_in_a_name_takes_no_main_text(spark):
+    draw = random.Random(13)
+    own = [" ".join(str(draw.random()) for _ in range(20)) for _ in range(5)]
+    shapes = ["<body class='single has-sidebar'><p>{}</p>", "<body class=sidebar><p>{}</p>", "<body><article class='long-form comment'>{}</article>", "<main class='with-sidebar sidebar'>{}</main>", "<div id=content class='ad-free'>{}</div>", "<section id=discussion>{}</section>", "<div role=main class=widget>{}</div>"]
+    for shape in shapes:
+        pages = [shape.format(t) + f"<div class='ad-box'>Buy {t[:9]}</div><div class=cookie-notice>We use {t[:7]}</div>" for t in own]
+        assert texts_of(spark, pages) == own, shape
+    al = w.Alphabet()
+    assert w.region(w.stream_of("<body><div class=comments>long enough</div><p>x<nav>a long list of links</nav>", al)[1]) == "body div.comments"
