@@ -27,10 +27,12 @@ BROADCAST_HITS = 200_000
 class Seeds:
     """Masks (places in a window that count) and what a diagonal needs to be an overlap.
 
-    An item of n tokens is found if at least min(most_needed, ceil(share * n)) of its tokens agree.
+    A diagonal that a mask hits counts if at least min(most_needed, ceil(share * n)) of the item's n tokens agree.
+    These masks hit every such diagonal of items of 10 to 20 tokens, and every one of items of 21 to 59 on which
+    ceil(share * n) agree, wherever the others stand; of those with fewer, at least 13, they miss some.
     """
 
-    masks: tuple[tuple[int, ...], ...] = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 8, 9))
+    masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4), (0, 2, 5, 6), (0, 2, 3, 8), (0, 4, 7, 9), (0, 1, 7, 8))
     share: float = 0.7
     most_needed: int = 13
 

@@ -61,3 +61,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert decontam.find_overlaps(odd_docs, none).count() == decontam.find_overlaps(no_docs, items).count() == 0
     assert decontam.clean(odd_docs, none).count() == 10
     assert decontam.clean(odd_docs, spark.createDataFrame([(1, "one")], "item_id long, text string")).count() == 9
+
+
+def test_no_diagonal_that_meets_the_rule_is_missed(spark):
+    """All diagonals, whether or not a mask hits them."""
+    draw = random.Random(17)
+    items, docs = [], []
+    for n in (10, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 30, 40, 59):
+        words, need = [f"i{len(items)}w{j}" for j in range(n)], -(-7 * n // 10)
+        for r in range(12):
+            agree = set(draw.sample(range(n), min(13, need) if n <= 20 else need)) if r else {j for j in range(n) if j % 4 != 1}
+            docs.append((len(docs), " ".join(["before"] * 3 + [x if j in agree else "other" for j, x in enumerate(words)] + ["after"])))
+        items.append((len(items), " ".join(words)))
+
+    def meets(text, item):
+        a, b = text.split(), item.split()
+        same = max(sum(0 <= k + j < len(a) and a[k + j] == x for j, x in enumerate(b)) for k in range(-len(b) + 1, len(a)))
+        return same if same >= min(13, -(-7 * len(b) // 10)) else 0
+
+    want = {(d, i, same, len(b.split())) for d, a in docs for i, b in items if (same := meets(a, b))}
+    assert len(want) >= 15 * 11
+    got = decontam.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want
