@@ -6,12 +6,15 @@ after the other with the expression inferred so far: where both agree the token
 a group's body on the other side joins the group, and any other mismatch becomes an optional group.
 There is no alternation. Every page is then matched against its host's finished wrapper, which gives each
 of its texts a slot. What a slot holds alike on all pages that have it is template text and left out, on
-the evidence of pages that differ otherwise; what varies stays. Extraction walks the page and leaves out
-template blocks and what menus, notices, adverts, forms and the like hold. Text outside of article and
-main elements goes only from a page where these hold nearly all of the rest.
+the evidence of pages that differ otherwise; what varies stays. The wrapper's repeated groups tell items
+from running text: repeated links beside the text are a menu, and repeated containers without headings that
+stand after the container of the text, in a named one of their own, are reader comments and the like. What
+menus, notices, adverts and forms hold by element or name goes too. Text outside of article and main
+elements goes from a page where these, standing by themselves in the wrapper, hold half of the rest.
 
 Equal streams are counted once in every task, so a host with a third of all pages sends a few
-rows a task. Streams of a host are first merged in parts, then the parts are merged.
+rows a task. Distinct streams of a host are merged as a tree: groups of about FAN_IN, then groups of what
+those gave, until one is left, so no task holds more of a host than that.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +43,10 @@ BROADCAST_CHARS = 16_000_000
 #: Wrappers that a task holds ready at once.
 HELD_MATCHERS = 2_000
 SALTS = 32
-PARTS = 16
-#: Longest run of tokens that folds as one group.
-LONGEST_GROUP = 32
+#: Streams of a host that one group of the merging tree is to hold.
+FAN_IN = 64
+#: Runs up to this length are folded by patterns, longer ones by comparing the stream with itself moved on.
+SHORT_GROUP = 32
 #: A slot's text is template text if so many pages, and this share of the host's, have it and differ in at least
 #: half of their longest texts.
 LEAST_PAGES, LEAST_SHARE = 3, 0.1
@@ -55,7 +60,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[^\W\d_]+")
 
 CONTAINERS = frozenset("article aside blockquote body dd details dialog div dl fieldset figure footer form header li main menu nav ol section table tbody td th thead tfoot tr ul".split())
 BLOCKS = CONTAINERS | frozenset("address center dt figcaption h1 h2 h3 h4 h5 h6 hr html head legend p pre summary caption option".split())
@@ -63,12 +68,18 @@ BLOCKS = CONTAINERS | frozenset("address center dt figcaption h1 h2 h3 h4 h5 h6
 #: and words that such a name may have besides (ad-box, but not ad-free or has-sidebar).
 OUTSIDE = frozenset("nav aside footer form menu dialog head button label input".split())
 OUTSIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead notice notices cookie cookies consent gdpr comment comments reply replies disqus discussion related recommended share sharing social subscribe subscription newsletter signup login popup modal overlay form search searchbox pagination pager widget toolbar skip alert complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead notice notices cookie cookies consent gdpr comment comments reply replies disqus discussion related recommended share sharing social subscribe subscription newsletter signup login popup modal overlay form search searchbox pagination pager widget toolbar skip alert complementary contentinfo"
+    " anzeige anzeigen werbung navigationsleiste seitenleiste fusszeile kopfzeile kommentar kommentare leserkommentare publicidad anuncio navegacion comentario comentarios opiniones publicite commentaire commentaires pubblicita navigazione commento commenti reactie reacties komentarze kommentarer yorumlar комментарии отзывы реклама 评论 コメント".split()
 )
 BESIDE_WORDS = frozenset("bar block bottom box container inner item items list site slot top unit wrap wrapper".split())
 MAIN = ("article", "main")
-#: Share of a page's text that its article and main elements must hold for the rest to go.
-NEARLY_ALL = 0.95
+#: Share of a page's text that its article and main elements must hold for the rest to go, and share of a host's text
+#: that a container must hold for no word to drop it.
+ENOUGH, NEARLY_ALL = 0.5, 0.8
+#: A host's text outside of repeated containers tells where the text stands only from so many characters a page.
+LEAST_TEXT = 80
+#: Containers that can be items of a list that follows the text; rows of tables are not.
+ITEMS = frozenset("li div section article dd blockquote".split())
 #: Headings stay, alike or not: they belong to the text below them.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -126,14 +137,16 @@ class _Walk:
 
     def __init__(self, kept: frozenset[str] = frozenset()):
         self.kept = kept
-        self.stack: list[tuple[str, str, bool, bool]] = []  # name, tag, outside by itself, marked as main
-        self.outside = self.marked = 0
+        self.stack: list[tuple[str, str, bool, bool, int, int]] = []  # name, tag, outside by itself, marked as main, place, number
+        self.outside = self.marked = self.opened = 0
 
-    def open(self, name: str, tag: str) -> None:
+    def open(self, name: str, tag: str, place: int = -1, alone: bool = True) -> None:
+        """place: of the tag in the wrapper; alone: it is in no repeated group."""
         if name in CONTAINERS or name in OUTSIDE and name not in ("input",):
             out = is_outside(tag, self.kept)
-            marked = _is_main(name, tag)
-            self.stack.append((name, tag, out, marked))
+            marked = _is_main(name, tag) and alone
+            self.opened += 1
+            self.stack.append((name, tag, out, marked, place, self.opened))
             self.outside += out
             self.marked += marked
 
@@ -176,7 +189,7 @@ class Alphabet:
         return "".join(self.letter(x) if isinstance(x, str) else self.group(x[0], self.joined(x[1])) for x in items)
 
 
-TWICE = [re.compile(rf"(.{{{n}}})\1+", re.S) for n in range(1, LONGEST_GROUP + 1)]
+TWICE = [re.compile(rf"(.{{{n}}})\1+", re.S) for n in range(1, SHORT_GROUP + 1)]
 
 
 def fold(stream: str, al: Alphabet) -> str:
@@ -185,9 +198,39 @@ def fold(stream: str, al: Alphabet) -> str:
     while n < len(TWICE) and 2 * (n + 1) <= len(stream):
         folded = TWICE[n].sub(lambda m: _repeated(m[1], al), stream)
         n, stream = (0 if folded != stream else n + 1), folded
+    found = _long_run(stream)
+    if found:
+        at, size, times = found
+        return fold(stream[:at] + _repeated(stream[at : at + size], al) + stream[at + size * times :], al)
     return stream
 
 
+def _long_run(stream: str) -> tuple[int, int, int] | None:
+    """Where the first of the shortest runs longer than SHORT_GROUP that repeat begins, its length, how often it stands there."""
+    n = SHORT_GROUP + 1
+    if 2 * n > len(stream):
+        return None
+    seen: dict[str, int] = {}
+    apart = set()  # how far apart equal windows lie; a run that repeats moves every window in it by its length
+    for i in range(len(stream) - n + 1):
+        before = seen.get(stream[i : i + n])
+        if before is not None:
+            apart.add(i - before)
+        seen[stream[i : i + n]] = i
+    if not apart:
+        return None
+    letters = np.frombuffer(stream.encode("utf-32-le"), np.uint32)
+    # Equal windows next to each other may lie closer than the run is long, so every sum of distances is possible.
+    for size in range(max(n, min(apart)), len(stream) // 2 + 1):
+        differ = np.flatnonzero(letters[:-size] != letters[size:])
+        edges = np.concatenate(([-1], differ, [len(letters) - size]))
+        long = np.flatnonzero(np.diff(edges) - 1 >= size)
+        if len(long):
+            at = int(edges[long[0]]) + 1
+            return at, size, 1 + int(edges[long[0] + 1] - at) // size
+    return None
+
+
 def _repeated(body: str, al: Alphabet) -> str:
     """The group of a body; a repeated group repeats as itself, an optional one becomes optional and repeated."""
     if len(body) == 1 and not isinstance(inner := al.name(body), str):
@@ -247,6 +290,10 @@ def pattern(items: list) -> str:
     return " ".join(x if isinstance(x, str) else f"({pattern(x[1])}){x[0]}" for x in items)
 
 
+def _has_heading(items: list) -> bool:
+    return any(x[1:3] in HEADINGS and x[3:4] in ">.#@" if isinstance(x, str) else _has_heading(x[1]) for x in items)
+
+
 class Matcher:
     """A wrapper as an automaton that gives every token of a page its place in the wrapper.
 
@@ -257,6 +304,8 @@ class Matcher:
     def __init__(self, items: list):
         self.after: list[tuple[str, int] | None] = [None]  # the token that leaves a state, and the state after it
         self.free: list[list[int]] = [[]]  # states reached without a token
+        self.many: set[int] = set()  # states after tokens of repeated groups
+        self.items: set[int] = set()  # states after the tags that open the outermost containers of repeated groups without headings
         self.last = self._built(items, 0)
         self.reached: dict[int, tuple[int, ...]] = {}
         self.sets: dict[tuple[int, ...], int] = {(0,): 0}
@@ -269,7 +318,8 @@ class Matcher:
         self.free.append([])
         return len(self.free) - 1
 
-    def _built(self, items: list, at: int) -> int:
+    def _built(self, items: list, at: int, many: bool = False, item: bool = False, depth: list[int] | None = None) -> int:
+        depth = [0] if depth is None else depth
         for x in items:
             start, at = at, self._state()
             if isinstance(x, str):
@@ -277,9 +327,19 @@ class Matcher:
                 end = self._state()
                 self.after[at] = (x, end)
                 at = end
+                if many:
+                    self.many.add(at)
+                if item and x[0] == "<":
+                    name = re.split(r"[.#@>]", x.removeprefix("</").removeprefix("<"), maxsplit=1)[0]
+                    if name in CONTAINERS:
+                        if x[1] != "/" and not depth[0]:
+                            self.items.add(at)
+                        depth[0] = depth[0] + 1 if x[1] != "/" else max(0, depth[0] - 1)
                 continue
             self.free[start].append(at)
-            body, at = at, self._built(x[1], at)
+            repeated = x[0] == "+"
+            plain = repeated and not _has_heading(x[1])
+            body, at = at, self._built(x[1], at, many or repeated, plain or item and not repeated, None if repeated else depth)
             end = self._state()
             self.free[at].append(end)
             if x[0] == "?":
@@ -377,28 +437,68 @@ def stream_of(page: str, al: Alphabet) -> tuple[str, Counter]:
 
 
 def region(mass: dict[str, int]) -> str:
-    """The containers, by tag and with spaces between, that hold most of the text of a host's pages; every page counts
-    alike. No word in their names says that they are outside."""
-    return " ".join(sorted(t for t, m in mass.items() if t and 2 * m > mass[""] and re.split(r"[.#@]", t)[0] not in OUTSIDE))
+    """The containers, by tag and with spaces between, that hold nearly all of the text of a host's pages; every page
+    counts alike. No word in their names says that they are outside."""
+    return " ".join(sorted(t for t, m in mass.items() if t and m > NEARLY_ALL * mass[""] and re.split(r"[.#@]", t)[0] not in OUTSIDE))
 
 
 def extract(page: str, main: str, matcher: Matcher | None = None, template: dict[int, set[str]] | None = None) -> str:
-    """The text of a page without template text; of its article and main elements alone if they hold nearly all of it.
+    """The text of a page without template text, menus, and items after the text; of its article and main elements
+    alone if they hold half of it.
 
     main: the tags of containers that are never outside by a word, with spaces between.
     """
-    found = [b for b in _blocks(page, main, matcher if template else None) if not template or b.heading or not b.is_template(template)]
+    blocks = _blocks(page, main, matcher)
+    found = [b for b in blocks if not template or b.heading or not b.is_template(template)]
     marked = [b for b in found if b.marked]
-    if marked and sum(len(b.text) for b in marked) >= NEARLY_ALL * sum(len(b.text) for b in found):
+    if marked and sum(len(b.text) for b in marked) >= ENOUGH * sum(len(b.text) for b in found if not b.linked):
         found = marked
+    else:
+        found = _without_headers(_without_items(found), template)
     return "\n".join(b.text for b in found)
 
 
-class _Block:
-    """A block's text, whether it is a heading, and inside an article or main, and its texts with their slots (-1: none)."""
+def _without_items(found: list[_Block]) -> list[_Block]:
+    """Without repeated links beside the text, and without items in a container of their own after the text's."""
+    text = [i for i, b in enumerate(found) if not (b.heading or b.linked or b.item or b.header)]
+    size = sum(len(found[i].text) for i in text)
+    if size < LEAST_TEXT:
+        return found
+    holds = Counter()
+    for i in text:
+        for n in found[i].chain:
+            holds[n] += len(found[i].text)
+    # Containers are numbered as they open: of those that hold most of the text, the last is the innermost.
+    own = max((n for n, m in holds.items() if 2 * m > size), default=0)
+    out = []
+    for i, b in enumerate(found):
+        beside = i < text[0] or i > text[-1] or not b.chain or not holds[b.chain[-1]]
+        after = i > text[-1] and own > 1 and own not in b.chain and b.item and b.item[1] and not holds[b.item[0]]
+        if not (b.linked and beside or after):
+            out.append(b)
+    return out
 
-    def __init__(self, text: str, heading: bool, marked: bool, slots: list[tuple[int, str]]):
-        self.text, self.heading, self.marked, self.slots = text, heading, marked, slots
+
+def _without_headers(found: list[_Block], template: dict[int, set[str]] | None) -> list[_Block]:
+    """Without what header elements outside of article and main hold; a heading there stays if the page has no other
+    and it is no template text."""
+    titled = any(b.heading and not b.header for b in found)
+    rest = [b for b in found if not b.header or b.heading and not titled and not (template and b.is_template(template))]
+    return rest if any(not b.header for b in rest) else found
+
+
+class _Block:
+    """A block's text and where it stands: whether it is a heading, inside an article or main, inside a page header;
+    whether it is nothing but repeated links; the numbers of the containers around it; the container around the item it
+    belongs to (its number, and whether it has a name), None outside of items; its texts with their slots (-1: none)."""
+
+    def __init__(self, text: str, heading: bool, walk: _Walk, slots: list[tuple[int, str]], linked: bool, items: set[int]):
+        self.text, self.heading, self.marked, self.linked, self.slots = text, heading, walk.marked > 0, linked, slots
+        self.chain = [x[5] for x in walk.stack]
+        self.header = not self.marked and any(x[0] == "header" for x in walk.stack)
+        at = next((i for i in range(len(walk.stack) - 1, 0, -1) if walk.stack[i][4] in items and walk.stack[i][0] in ITEMS), 0)
+        around = walk.stack[at - 1] if at else None
+        self.item = (around[5], any(c in around[1] for c in ".#@")) if around else None
 
     def is_template(self, template: dict[int, set[str]]) -> bool:
         """Constant words inside a block that varies stay with it."""
@@ -422,18 +522,21 @@ def _flat(page: str) -> list[tuple[str, str, str, str]]:
 
 def _blocks(page: str, main: str, matcher: Matcher | None = None) -> list[_Block]:
     walk, out, part, slots = _Walk(frozenset(main.split())), [], [], []
-    heading = False
+    heading, link, unlinked = False, False, False
     flat = _flat(page)
     places = matcher and matcher.places([x[3] for x in flat if x[3]])
     place = iter(places) if places else None
+    many, items = (matcher.many, matcher.items) if places else (set(), set())
 
     def flush() -> None:
+        nonlocal unlinked
         if part:
             text = " ".join(entities.unescape("".join(part)).split())
             if text:
-                out.append(_Block(text, heading, walk.marked > 0, slots.copy()))
+                out.append(_Block(text, heading, walk, slots.copy(), not unlinked and any(s in many for s, _ in slots), items))
             part.clear()
             slots.clear()
+        unlinked = False
 
     for kind, name, rest, token in flat:
         slot = next(place) if place and token else -1
@@ -442,14 +545,17 @@ def _blocks(page: str, main: str, matcher: Matcher | None = None) -> list[_Block
                 part.append(rest)
                 if token:
                     slots.append((slot, rest))
+                    unlinked |= not link
             continue
         if name in BLOCKS:
             flush()
             heading = kind == "open" and name in HEADINGS
         elif name == "br":
             part.append(" ")
+        elif name == "a":
+            link = kind == "open"
         if kind == "open":
-            walk.open(name, token[1:-1])
+            walk.open(name, token[1:-1], slot, slot not in many)
         else:
             walk.close(name)
     flush()
@@ -530,22 +636,24 @@ class _Matchers:
         return self.held[host]
 
 
-WRAPPER = T.StructType([T.StructField("host", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("stream", T.StringType()), T.StructField("mass", T.StringType()), T.StructField("n_pages", T.LongType())])
+WRAPPER = T.StructType([T.StructField("host", T.StringType()), T.StructField("part", T.LongType()), T.StructField("stream", T.StringType()), T.StructField("mass", T.StringType()), T.StructField("n_pages", T.LongType())])
 
 
-def _merged(group: pa.Table, part: int | None) -> pa.Table:
-    al, wrapper, mass, n = Alphabet(), None, Counter(), 0
-    rows = sorted(zip(group["n_pages"].to_pylist(), group["stream"].to_pylist(), group["mass"].to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
-    for count, stream, held, in rows:
+def _merged(group: pa.Table) -> pa.Table:
+    """One row of the rows of a host and part; streams that more pages have come first, equal ones are one."""
+    al, wrapper, mass, n, held = Alphabet(), None, Counter(), 0, Counter()
+    for count, stream, sizes in zip(group["n_pages"].to_pylist(), group["stream"].to_pylist(), group["mass"].to_pylist(), strict=True):
+        held[stream] += count
+        mass.update(json.loads(sizes))
+        n += count
+    for stream, _ in sorted(held.items(), key=lambda x: (-x[1], x[0])):
         letters = al.joined(json.loads(stream))
         wrapper = letters if wrapper is None else merge(wrapper, letters, al)
-        mass.update(json.loads(held))
-        n += count
-    row = [group["host"][0].as_py(), group["part"][0].as_py() if part is None else part, json.dumps(al.expanded(wrapper)), json.dumps(mass), n]
-    return pa.table([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=WRAPPER.names)
+    row = [group["host"][0].as_py(), group["part"][0].as_py(), json.dumps(al.expanded(wrapper)), json.dumps(mass), n]
+    return pa.table([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=WRAPPER.names)
 
 
-def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", fan_in: int = FAN_IN) -> DataFrame:
     """host, wrapper (the expression as text), expression (as JSON), main (the containers that hold most text) and n_pages, one row a host, from all its pages."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,7 +663,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
             rows = [(host, json.dumps(al.expanded(s)), json.dumps(mass), n) for (host, s), (mass, n) in found.items()]
             hosts, texts, masses, counts = zip(*rows, strict=True)
             parts = [hash_part(t) for t in texts]
-            return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(parts, pa.int32()), pa.array(texts), pa.array(masses), pa.array(counts, pa.int64())], WRAPPER.names)
+            return pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(parts, pa.int64()), pa.array(texts), pa.array(masses), pa.array(counts, pa.int64())], WRAPPER.names)
 
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -569,10 +677,15 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         if found:
             yield sent()
 
-    rows = map_arrow(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)), streams, WRAPPER)
-    # The same stream from several tasks is one row; its parts' texts are summed when parts are merged.
-    some = rows.groupBy("host", "part").applyInArrow(lambda g: _merged(g, None), WRAPPER)
-    whole = written(some, "wrapper-parts").groupBy("host").applyInArrow(lambda g: _merged(g, 0), WRAPPER)
+    rows = written(map_arrow(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)), streams, WRAPPER), "wrapper-streams")
+    # part is a hash of the stream: equal streams meet, and a level's groups hold about fan_in distinct ones each.
+    while True:
+        groups = F.ceil(F.count_distinct("part") / F.lit(fan_in)).alias("groups")
+        sizes = written(rows.groupBy("host").agg(groups), "wrapper-sizes")
+        dealt = rows.join(bounded(sizes, BROADCAST_HOSTS), "host").select("host", F.pmod("part", "groups").alias("part"), *WRAPPER.names[2:])
+        rows = written(dealt.groupBy("host", "part").applyInArrow(_merged, WRAPPER), "wrapper-parts")
+        if sizes.where("groups > 1").isEmpty():
+            break
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -581,13 +694,11 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
                 mains = [region(json.loads(x)) for x in b.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wrappers), b.column(2), pa.array(mains), b.column(4)], ["host", "wrapper", "expression", "main", "n_pages"])
 
-    return map_arrow(whole, named, "host string, wrapper string, expression string, main string, n_pages long")
+    return map_arrow(rows, named, "host string, wrapper string, expression string, main string, n_pages long")
 
 
 def hash_part(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode("utf-8")) % PARTS
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8"), digest_size=7).digest(), "big")
 
 
 def _with_wrappers(pages: DataFrame, wrappers: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

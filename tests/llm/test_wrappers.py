@@ -1,4 +1,5 @@
 import html
+import json
 import random
 import re
 from collections import Counter
@@ -151,3 +152,102 @@ def test_a_word_in_a_name_takes_no_main_text(spark):
         assert texts_of(spark, pages) == own, shape
     al = w.Alphabet()
     assert w.region(w.stream_of("<body><div class=comments>long enough</div><p>x<nav>a long list of links</nav>", al)[1]) == "body div.comments"
+
+
+def sentences(draw, n):
+    return " ".join(draw.choice("haus baum weg licht wort zeit kind jahr".split()) + str(draw.randrange(99)) for _ in range(n))
+
+
+def unmarked(draw):
+    """Pages without article or main, under names that no list holds, in another language; and their main texts."""
+    for _ in range(9):
+        body = [sentences(draw, 14) for _ in range(draw.randint(2, 5))]
+        title = sentences(draw, 3)
+        menu = "".join(f"<li><a href=x>{sentences(draw, 1)}</a></li>" for _ in range(draw.randint(3, 7)))
+        remarks = "".join(f"<li><b>{sentences(draw, 1)}</b> {sentences(draw, 30)}</li>" for _ in range(draw.randint(1, 7)))
+        text = "".join(f"<p>{b}</p>" for b in body)
+        yield f"<body><header>Tagblatt</header><div id=c1><ul>{menu}</ul></div><div id=c2><h1>{title}</h1>{text}</div><div class=zz>Alle Rechte bei uns</div><ul class=meinungen>{remarks}</ul></body>", "\n".join([title, *body])
+
+
+def test_pages_without_marks_in_another_language(spark):
+    pages, want = zip(*unmarked(random.Random(21)), strict=True)
+    assert texts_of(spark, pages) == list(want)
+
+
+def whole_wrapper(pages):
+    al, wrapper = w.Alphabet(), None
+    for p in pages:
+        stream, _ = w.stream_of(p, al)
+        wrapper = stream if wrapper is None else w.merge(wrapper, stream, al)
+    return al.expanded(wrapper)
+
+
+def test_another_wrapper_gives_another_text():
+    """The text comes from the slots and groups of the wrapper that a page is matched against."""
+    pages, want = zip(*unmarked(random.Random(22)), strict=True)
+
+    def texts(items):
+        matcher, slots = w.Matcher(items), w.Slots()
+        for p in pages:
+            slots.see(w._blocks(p, "", matcher))
+        return [w.extract(p, "", matcher, slots.template()) for p in pages]
+
+    items = whole_wrapper(pages)
+    assert texts(items) == list(want)
+    assert all(t != x and len(t) > len(x) for t, x in zip(texts(["<garbage>"]), want, strict=True))
+
+
+def test_names_and_headers():
+    draw = random.Random(23)
+    a, b = sentences(draw, 20), sentences(draw, 20)
+    assert w.extract(f"<body><header>Site Name</header><p>{a}</p><p>{b}</p>", "") == f"{a}\n{b}"
+    assert w.extract(f"<body><header><b>Site</b><h1>Title</h1></header><p>{a}</p>", "") == f"Title\n{a}"
+    for name in ("elementor-widget text", "search-results-article"):
+        assert w.extract(f"<body><div class='{name}'><article><h1>Title</h1><p>{a}</p></article></div>", "") == f"Title\n{a}"
+    assert w.extract(f"<body><p>{a}</p><ul class=kommentare><li>{b}</li><li>{b} {a} {b}</li></ul>", "") == a
+
+
+def test_tables_sections_and_lists_of_the_text_stay(spark):
+    draw = random.Random(24)
+    shapes = ["<body><p>{0}</p><ul><li>{1}</li><li>{2}</li></ul><p>{3}</p>", "<body><div class=intro><p>{0}</p></div><div class=part><h2>{1}</h2><p>{2}</p></div><div class=part><h2>{3}</h2><p>{0}</p></div>", "<body><p>{0}</p><table><tr><td>{1}</td></tr><tr><td>{2}</td></tr></table>", "<body><div id=text><div class=lead>{0}</div><div class=para>{1}</div><div class=para>{2}</div></div>", "<body><p>{0} <a href=x>{1}</a> {2}</p><p>{3}</p>"]
+    for shape in shapes:
+        parts = [[sentences(draw, 15) for _ in range(4)] for _ in range(6)]
+        pages = [shape.format(*p) for p in parts]
+        assert texts_of(spark, pages) == [expected_blocks(x) for x in pages], shape
+
+
+def expected_blocks(page):
+    return "\n".join(t for p in re.split("</?(?:p|li|ul|div|h2|td|tr|table|body)\\b[^>]*>", page) if (t := " ".join(re.sub("<[^>]*>", "", p).split())))
+
+
+def test_long_runs_fold():
+    al = w.Alphabet()
+    body = "".join(al.letter(f"<x{i}>") for i in range(3 * w.SHORT_GROUP))
+    items = al.expanded(w.fold(al.letter("<ul>") + body * 3 + al.letter("</ul>"), al))
+    assert [x if isinstance(x, str) else (x[0], len(x[1])) for x in items] == ["<ul>", ("+", 3 * w.SHORT_GROUP), "</ul>"]
+    # Equal windows inside of the run lie closer than it is long.
+    inner = "".join(al.letter(f"<y{i}>") for i in range(w.SHORT_GROUP + 9))
+    odd = inner + al.letter("<one>") + inner + al.letter("<two>")
+    assert [len(x[1]) for x in al.expanded(w.fold(odd * 2, al))] == [len(odd)]
+    assert w.fold(odd, al) == odd
+
+
+def test_merging_as_a_tree_and_joining_by_shuffle(spark, monkeypatch):
+    draw = random.Random(25)
+    made = [page(draw, i % 2) for i in range(24)]
+    frame = spark.createDataFrame([(i, f"http://h{i % 2}.com/", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    deep = {r["host"]: json.loads(r["expression"]) for r in w.infer(frame, fan_in=2).collect()}
+    for i, (p, _) in enumerate(made):
+        flat = [x[3] for x in w._flat(p) if x[3]]
+        assert len(flat) in matches(deep[f"h{i % 2}.com"], flat) and w.Matcher(deep[f"h{i % 2}.com"]).places(flat)
+    monkeypatch.setattr(w, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(w, "FAN_IN", 3)
+    rows = w.main_text(frame).orderBy("page_id").collect()
+    assert [r["text"] for r in rows] == [t for _, t in made]
+
+
+def test_a_very_long_page(spark):
+    draw = random.Random(26)
+    parts = [sentences(draw, 12) for _ in range(20_000)]
+    long = "<body><article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article></body>"
+    assert texts_of(spark, [long, "<body><article><p>short</p></article></body>", None]) == ["\n".join(parts), "short", ""]
