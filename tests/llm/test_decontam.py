@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from braidgraph.llm import decontam
 
@@ -6,18 +7,18 @@ from llm_helpers import prose
 
 
 def brute(docs, items, seeds=decontam.Seeds()):
-    """All diagonals of all pairs; n_matched is the most tokens that agree on one that a seed hits."""
+    """All diagonals of all pairs, without masks; n_matched is the most tokens that agree in a run of the window."""
     out = {}
     for d, text in docs:
         w = (text or "").lower().split()
         for i, item in items:
             t = (item or "").lower().split()
-            need = len(t) if len(t) < seeds.span else min(seeds.most_needed, -(-len(t) * seeds.share // 1))
+            need = len(t) if len(t) < seeds.span else -(-min(len(t), seeds.window) * 7 // 10)
             for k in range(-len(t) + 1, len(w)):
-                same = [0 <= k + j < len(w) and w[k + j] == t[j] for j in range(len(t))]
-                hit = any(all(j + m < len(t) and same[j + m] for m in mask) for mask in seeds.masks for j in range(len(t))) if len(t) >= seeds.span else bool(t) and all(same)
-                if hit and sum(same) >= need:
-                    out[d, i] = max(out.get((d, i), 0), sum(same))
+                at = [j for j in range(max(0, -k), min(len(t), len(w) - k)) if w[k + j] == t[j]]
+                best = max((sum(x < y + seeds.window for x in at[n:]) for n, y in enumerate(at)), default=0) if len(at) >= need else 0
+                if t and best >= need:
+                    out[d, i] = max(out.get((d, i), 0), best)
     return {(d, i, n, len(dict(items)[i].split())) for (d, i), n in out.items()}
 
 
@@ -63,23 +64,48 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert decontam.clean(odd_docs, spark.createDataFrame([(1, "one")], "item_id long, text string")).count() == 9
 
 
-def test_no_diagonal_that_meets_the_rule_is_missed(spark):
-    """All diagonals, whether or not a mask hits them."""
+def test_every_run_that_meets_the_rule_holds_a_mask():
+    """All choices of agreeing places, for every length of item up to the window."""
+    seeds = decontam.Seeds()
+    for n in range(seeds.span, seeds.window + 1):
+        placed = [sum(1 << (j + m) for m in mask) for mask in seeds.masks for j in range(n - mask[-1])]
+        for agree in combinations(range(n), -(-7 * n // 10)):
+            bits = sum(1 << j for j in agree)
+            assert any(bits & p == p for p in placed), (n, agree)
+
+
+def test_no_overlap_is_missed_and_chance_counts_for_nothing(spark):
+    """Substitutions at the limit on items of 10 to 60 words, and long items that share eight words and many common ones."""
     draw = random.Random(17)
+    common = [f"c{i}" for i in range(20)]
+
+    def text(n, name):
+        return [draw.choice(common) if draw.random() < 0.5 else f"{name}{draw.randrange(10**6)}" for _ in range(n)]
+
     items, docs = [], []
-    for n in (10, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 30, 40, 59):
-        words, need = [f"i{len(items)}w{j}" for j in range(n)], -(-7 * n // 10)
-        for r in range(12):
-            agree = set(draw.sample(range(n), min(13, need) if n <= 20 else need)) if r else {j for j in range(n) if j % 4 != 1}
-            docs.append((len(docs), " ".join(["before"] * 3 + [x if j in agree else "other" for j, x in enumerate(words)] + ["after"])))
+    for n in range(10, 61, 3):
+        words, run = text(n, "i"), min(n, 18)
+        for _ in range(8):
+            at = draw.randint(0, n - run)
+            agree = {at + j for j in draw.sample(range(run), -(-7 * run // 10))}
+            docs.append((len(docs), " ".join(text(30, "d") + [x if j in agree else f"o{draw.randrange(10**6)}" for j, x in enumerate(words)] + text(30, "e"))))
+        items.append((len(items), " ".join(words)))
+    near = len(docs)
+    for n in (100, 600, 2000):
+        words = text(n, "i")
+        for _ in range(10):
+            at = draw.randint(0, n - 8)
+            docs.append((len(docs), " ".join(text(n // 2, "f") + words[at : at + 8] + text(n // 2, "g"))))
         items.append((len(items), " ".join(words)))
+    got = {tuple(r) for r in decontam.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {r for r in got if r[0] < near} == brute(docs[:near], items)
+    assert {r[0] for r in got} == set(range(near))
 
-    def meets(text, item):
-        a, b = text.split(), item.split()
-        same = max(sum(0 <= k + j < len(a) and a[k + j] == x for j, x in enumerate(b)) for k in range(-len(b) + 1, len(a)))
-        return same if same >= min(13, -(-7 * len(b) // 10)) else 0
 
-    want = {(d, i, same, len(b.split())) for d, a in docs for i, b in items if (same := meets(a, b))}
-    assert len(want) >= 15 * 11
-    got = decontam.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {tuple(r) for r in got.collect()} == want
+def test_null_and_repeated_ids(spark):
+    passage = " ".join(f"p{j}" for j in range(15))
+    docs = spark.createDataFrame([(None, f"a {passage}", 1), (None, "clean text", 2), (1, "nothing", 3), (1, f"{passage} b", 4), (1, " ".join(f"p{j}" for j in range(13)), 5), (2, None, 6)], "doc_id long, text string, bench_key int")
+    items = spark.createDataFrame([(7, passage), (7, passage), (None, passage)], "item_id long, text string")
+    assert sorted((str(r[0]), str(r[1]), r[2], r[3]) for r in decontam.find_overlaps(docs, items).collect()) == [("1", "7", 15, 15), ("1", "None", 15, 15), ("None", "7", 15, 15), ("None", "None", 15, 15)]
+    kept = decontam.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r["bench_key"] for r in kept.collect()) == [2, 3, 6]
