@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing
+from . import decontam, mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_wrappers": op10_wrappers,
 }
 
-ORACLES: dict[str, str] = {"op5_source_mix": mixing.ORACLE, "op9_spaced_seeds": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op5_source_mix": mixing.ORACLE, "op8_capture_index": warc.ORACLE, "op9_spaced_seeds": decontam.ORACLE}
