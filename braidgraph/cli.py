@@ -36,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     add("paths")
     add("stats", (["-S"], flag), (["-L"], flag))
     add("position", (["-p"], {"required": True}))
-    add("extract", (["-n"], number | {"required": True}), (["-c"], number | {"required": True}), (["-d"], number | {"default": 300_000}), (["-e"], number | {"default": None}))
+    add("extract", (["-n"], number | {"required": True}), (["-c"], number | {"required": True}), (["-d"], number | {"default": 300_000}), (["-e"], number | {"default": 6}))
     add("depth", (["-d"], flag), (["-r"], {"action": "append"}), (["-b"], {}), (["--subset"], {}))
     add("chop", (["-c"], number | {"required": True}), (["-l"], flag), (["--drop-empty"], flag))
     add("gaf", (["file"], {}), (["-s"], flag), (["-b"], flag))
@@ -64,6 +64,11 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _text(path: str) -> str:
+    with open(path) as f:
+        return f.read()
+
+
 def _rows(df: DataFrame, *order: str):
     return df.orderBy(*order).toLocalIterator()
 
@@ -87,9 +92,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         say(text.line_count(spark, a.file))
         return 0
     if c == "script":
-        code = a.code or open(a.file).read()
-        shown = script.run(spark, code, only_plan=a.p)
-        out.write(shown + "\n" if isinstance(shown, str) else "".join(map(script.table_text, shown)))
+        # Without code or a file, lines are read and run one by one, as a shell does.
+        sources = [a.code] if a.code else [_text(a.file)] if a.file else sys.stdin
+        for code in sources:
+            try:
+                shown = script.run(spark, code, only_plan=a.p)
+            except script.ScriptError as e:
+                if a.code or a.file:
+                    raise
+                print(e, file=sys.stderr)
+                continue
+            out.write(shown + "\n" if isinstance(shown, str) else "".join(map(script.table_text, shown)))
         return 0
     if c == "from-json":
         with open(a.file) as f:
@@ -199,7 +212,7 @@ def _on_graph(a, g: Graph, spark: SparkSession, say, out) -> int:
 
 
 def _matrix_row(g: Graph, spark: SparkSession, file: str) -> str:
-    found = tables.read_gaf(spark, file).withColumn("file", F.lit(file))
+    found = tables.read_gaf(spark, file, walks_only=True).withColumn("file", F.lit(file))
     row = reads.presence_rows(g, found, spark.createDataFrame([(file,)], "file string")).first()
     return "".join("1" if x else "0" for x in row["cells"]) if row else ""
 

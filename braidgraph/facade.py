@@ -172,7 +172,8 @@ class GraphView:
         found = tables.read_gaf(self.graph.spark, gaf) if isinstance(gaf, str) else gaf
         low, high = reads.closed_range(*(F.col(c) for c in ("kind", "start", "end", "len")))
         part = reads.chunk_sequence(*(F.col(c) for c in ("kind", "seq", "fwd", "start", "end")))
-        each = reads.chunks(self.graph, found).select("file", "read_ord", F.struct("index", "seg_id", "fwd", low.alias("low"), high.alias("high"), part.alias("part")).alias("c"))
+        whole = reads.chunks(self.graph, found)
+        each = whole.join(self.graph.segments.select("seg_id", "seq"), "seg_id").select("file", "read_ord", F.struct("index", "seg_id", "fwd", low.alias("low"), high.alias("high"), part.alias("part")).alias("c"))
         lists = each.groupBy("file", "read_ord").agg(F.array_sort(F.collect_list("c")).alias("cs"))
         for r in found.select("file", "read_ord", "name").join(lists, ["file", "read_ord"], "left").orderBy("file", "read_ord").toLocalIterator():
             yield Read(r["name"], tuple(ChunkEvent(Handle(self, c["seg_id"], c["fwd"]), (c["low"], c["high"]), c["part"]) for c in r["cs"] or ()))
@@ -186,7 +187,7 @@ class GraphView:
         """A row of booleans by segment for each file, in the order of the files."""
         out = []
         for file in files:
-            found = tables.read_gaf(self.graph.spark, file).withColumn("file", F.lit(file))
+            found = tables.read_gaf(self.graph.spark, file, walks_only=True).withColumn("file", F.lit(file))
             row = reads.presence_rows(self.graph, found, self.graph.spark.createDataFrame([(file,)], "file string")).first()
             out.append(list(row["cells"]) if row else [])
         return out

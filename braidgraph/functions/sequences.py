@@ -44,8 +44,12 @@ def handle_text(name: Column, fwd: Column) -> Column:
     return F.concat(name.cast("string"), sign(fwd))
 
 
-def parse_cigar(text: Column) -> Column:
-    """3M2I as an array of (len, op); * and the empty text have no operations."""
+def parse_cigar(text: Column, strict: bool = False) -> Column:
+    """3M2I as an array of (len, op); * and the empty text have no operations. What doesn't fit is left out, or with
+    strict an error."""
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("not an overlap: "), text)).cast("string")
+        text = F.when(F.regexp_like(text, F.lit(r"^(?:(?:[0-9]+[MNDI])*|\*)$")), text).otherwise(bad)
     found = F.regexp_extract_all(text, F.lit("[0-9]+[MNDI]"), F.lit(0))
     return F.transform(found, lambda x: F.struct(F.regexp_extract(x, "^[0-9]+", 0).cast("int").alias("len"), F.right(x, F.lit(1)).alias("op")))
 

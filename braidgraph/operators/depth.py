@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import BROADCAST_ROWS
 from ..plans.graph import Graph
 
 
@@ -18,7 +19,8 @@ def named_paths(g: Graph, names: list[str], strict: bool = False) -> DataFrame:
         rows = listed.join(g.paths.select("path_id", "name"), "name", "left")
         missing = F.raise_error(F.concat(F.lit("no such path: "), F.col("name"))).cast("long")
         return rows.select("ord", F.coalesce("path_id", missing).alias("path_id"), "name")
-    return g.paths.select("path_id", "name").join(F.broadcast(listed), "name").select("ord", "path_id", "name")
+    # The names come from the driver as arguments; beyond the bound they are joined like a table.
+    return g.paths.select("path_id", "name").join(F.broadcast(listed) if len(names) <= BROADCAST_ROWS else listed, "name").select("ord", "path_id", "name")
 
 
 def steps_on(g: Graph, names: list[str] | None) -> DataFrame:
@@ -39,9 +41,10 @@ def segment_depth(g: Graph, names: list[str] | None = None) -> DataFrame:
     return g.segments.select("seg_id", "name").join(counts, "seg_id", "left").na.fill(0, ["depth", "uniq"])
 
 
-def step_counts_by_segment(g: Graph) -> DataFrame:
-    """seg_id and depth of the segments that some step visits."""
-    return g.steps.groupBy("seg_id").agg(F.count(F.lit(1)).alias("depth"))
+def step_counts_by_segment(g: Graph, only: DataFrame | None = None) -> DataFrame:
+    """seg_id and depth of the segments that some step visits, of all or of those in `only`."""
+    steps = g.steps if only is None else g.steps.join(only, "seg_id", "left_semi")
+    return steps.groupBy("seg_id").agg(F.count(F.lit(1)).alias("depth"))
 
 
 def segment_depth_only(g: Graph) -> DataFrame:
@@ -61,7 +64,7 @@ def path_depth(g: Graph, names: list[str] | None = None, strict: bool = False) -
     """
     by_segment = g.segments.select("seg_id", "len").join(step_counts_by_segment(g), "seg_id")
     reported = g.paths.select("path_id", "name") if names is None else named_paths(g, names, strict)
-    steps = g.steps if names is None else g.steps.join(F.broadcast(reported.select("path_id").distinct()), "path_id", "left_semi")
+    steps = g.steps if names is None else g.steps.join(reported.select("path_id").distinct(), "path_id", "left_semi")
     sums = steps.select("path_id", "seg_id").join(by_segment, "seg_id").groupBy("path_id").agg(F.sum("len").alias("length"), F.sum(F.col("len") * F.col("depth")).alias("weighted"))
     rows = reported.join(sums, "path_id", "left").na.fill(0, ["length", "weighted"])
     return rows.withColumn("mean_depth", mean(F.col("weighted"), F.col("length")))
@@ -81,7 +84,11 @@ def as_bed(lengths: DataFrame) -> DataFrame:
 
 
 def crossings(g: Graph) -> DataFrame:
-    """seg_id and steps, an array of (path_id, step_idx, fwd) in order, empty where no step is."""
+    """seg_id and steps, an array of (path_id, step_idx, fwd) in order, empty where no step is.
+
+    A segment's steps are one value by definition, so a segment with very many steps is one large row; depth and
+    segment_depth don't need them.
+    """
     lists = g.steps.groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("path_id", "step_idx", "fwd"))).alias("steps"))
     rows = g.segments.select("seg_id", "name").join(lists, "seg_id", "left")
     none = F.array().cast("array<struct<path_id:bigint,step_idx:bigint,fwd:boolean>>")

@@ -1,16 +1,16 @@
 """Neighbourhoods: the part of a graph around a segment.
 
 The set of segments grows in rounds: one round for each link of distance, then rounds that fill gaps of
-paths until nothing changes. A round is one join against the set; the sets are written to reliable
+paths, path after path or all at once. A round is a few joins against the set; the sets are written to reliable
 checkpoints, so a lost executor costs no earlier round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prefix import checkpointed, numbered
+from ..functions.prefix import checkpointed, least_beside, numbered, sums_within
 from ..plans.graph import Graph
 from .accessors import find_segment, undirected
 from .links import ENDS
@@ -34,11 +34,9 @@ def gap_segments(spans: DataFrame, found: DataFrame, most: int) -> DataFrame:
     """Segments that paths visit between two visits of the set, where the path comes back at an offset of
     at most `most` from its beginning."""
     rows = spans.join(found.withColumn("inside", F.lit(True)), "seg_id", "left").select("path_id", "step_idx", "seg_id", "pos", F.coalesce("inside", F.lit(False)).alias("inside"))
-    before = Window.partitionBy("path_id").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("path_id").orderBy("step_idx").rowsBetween(1, Window.unboundedFollowing)
-    visited = F.max("inside").over(before)
-    back_at = F.first(F.when(F.col("inside"), F.col("pos")), ignorenulls=True).over(after)
-    return rows.select("seg_id", "inside", visited.alias("visited"), back_at.alias("back_at")).where(f"NOT inside AND visited AND back_at <= {int(most)}").select("seg_id").distinct()
+    # Offsets grow along a path, so the least one among the later visits is that of the next.
+    rows = least_beside(rows, "path_id", "step_idx", F.when(F.col("inside"), F.col("pos")), "visited", "back_at")
+    return rows.where(f"NOT inside AND visited IS NOT NULL AND back_at <= {int(most)}").select("seg_id").distinct()
 
 
 def fill_gaps(g: Graph, found: DataFrame, most: int, rounds: int | None = None) -> DataFrame:
@@ -56,10 +54,9 @@ def fill_gaps(g: Graph, found: DataFrame, most: int, rounds: int | None = None)
 
 def subpaths(g: Graph, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Paths and steps of the runs of steps inside a set: path_id, name (name:start-end), and the runs' steps."""
-    rows = positioned(g).join(found.withColumn("inside", F.lit(True)), "seg_id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    order = Window.partitionBy("path_id").orderBy("step_idx")
+    rows = g.steps.join(g.segments.select("seg_id", "len"), "seg_id").join(found.withColumn("inside", F.lit(True)), "seg_id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     # Steps outside end a run: counting them numbers the runs.
-    rows = rows.withColumn("run", F.sum((~F.col("inside")).cast("int")).over(order)).where("inside")
+    rows = sums_within(rows, "path_id", "step_idx", {"pos": F.col("len"), "run": (~F.col("inside")).cast("int")}, g.longest).where("inside")
     runs = rows.groupBy("path_id", "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("len")).alias("end"), F.min("step_idx").alias("first"), F.count(F.lit(1)).alias("n_steps"))
     named = runs.join(g.paths.select("path_id", "name"), "path_id")
     named = numbered(named, "new_id", F.col("path_id"), F.col("first"))
@@ -68,14 +65,15 @@ def subpaths(g: Graph, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return paths, steps
 
 
-def extract(g: Graph, origin: int, link_distance: int, most_gap: int = 300_000, rounds: int | None = None) -> Graph:
+def extract(g: Graph, origin: int, link_distance: int, most_gap: int = 300_000, rounds: int | None = 6, at_once: bool = False) -> Graph:
     """The neighbourhood of the segment named `origin`: names, tags and overlaps of links are kept, paths become
-    the sub-paths inside. Gaps are filled until nothing changes, or for a number of rounds."""
+    the sub-paths inside. Gaps are filled for a number of rounds, path after path, or at_once for all paths of a round;
+    without a number until nothing changes, where the order of paths makes no difference."""
     start = find_segment(g, origin)
     if start.isEmpty():
         raise ValueError(f"no such segment: {origin}")
-    found = fill_gaps(g, neighborhood(g, start, link_distance), most_gap, rounds)
-    return induced(g, found)
+    fill = fill_gaps if at_once or rounds is None else fill_gaps_in_turn
+    return induced(g, fill(g, neighborhood(g, start, link_distance), most_gap, rounds))
 
 
 def induced(g: Graph, found: DataFrame) -> Graph:
@@ -94,20 +92,29 @@ def induced(g: Graph, found: DataFrame) -> Graph:
 def fill_gaps_in_turn(g: Graph, found: DataFrame, most: int, rounds: int) -> DataFrame:
     """Gaps filled path after path, each seeing what those before it added, for a number of rounds.
 
-    The order matters for the result in rare cases, so the steps pass through the driver: for small graphs.
+    Within a round every segment that is added has a time: the path, and the step at which that comes back to the
+    set. A step is inside if its segment's time is before the step's own. From no times at all, times are worked out
+    again from the ones before until they stay; each pass settles at least the earliest time that was not yet right, so the
+    passes are as many as additions depend on each other, not as there are paths.
     """
-    inside = {r["seg_id"] for r in found.collect()}
-    walks: dict[int, list[tuple[int, int]]] = {}
-    for r in positioned(g).orderBy("path_id", "step_idx").toLocalIterator():
-        walks.setdefault(r["path_id"], []).append((r["seg_id"], r["pos"]))
+    spans = checkpointed(positioned(g).select("path_id", "step_idx", "seg_id", "pos"))
     for _ in range(rounds):
-        for walk in walks.values():
-            gap, visited = [], False
-            for seg, pos in walk:
-                if seg not in inside:
-                    gap.append(seg)
-                    continue
-                if visited and gap and pos <= most:
-                    inside.update(gap)
-                gap, visited = [], True
-    return g.spark.createDataFrame([(s,) for s in sorted(inside)], "seg_id long")
+        before = found.select("seg_id", F.lit(None).cast("struct<path:bigint,step:bigint>").alias("since"))
+        added, mark = None, None
+        while True:
+            known = before if added is None else before.unionAll(added)
+            rows = spans.join(known.withColumn("known", F.lit(True)), "seg_id", "left")
+            own = F.struct(F.col("path_id").alias("path"), F.col("step_idx").alias("step"))
+            rows = rows.select("path_id", "step_idx", "seg_id", "pos", F.coalesce(F.col("known") & (F.col("since").isNull() | (F.col("since") < own)), F.lit(False)).alias("inside"))
+            # The next step inside is the least one after; its offset comes along.
+            rows = least_beside(rows, "path_id", "step_idx", F.when(F.col("inside"), F.struct("step_idx", "pos")), "visited", "back")
+            closed = rows.where(f"NOT inside AND visited IS NOT NULL AND back.pos <= {int(most)}").select("seg_id", F.struct(F.col("path_id").alias("path"), F.col("back.step_idx").alias("step")).alias("since"))
+            added = checkpointed(closed.groupBy("seg_id").agg(F.min("since").alias("since")))
+            now = added.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("seg_id", "since")).alias("x")).first()
+            if (now["n"], now["x"]) == mark:
+                break
+            mark = (now["n"], now["x"])
+        if not mark[0]:
+            break
+        found = checkpointed(found.select("seg_id").unionAll(added.select("seg_id")))
+    return found

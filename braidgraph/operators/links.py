@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import Graph
 from .depth import path_length
+from ..functions.prefix import with_next
 from ..functions.sequences import handle_text
 
 ENDS = ["from_seg", "from_fwd", "to_seg", "to_fwd"]
@@ -17,11 +18,10 @@ def reversed_links(links: DataFrame) -> DataFrame:
     return links.select(F.col("to_seg").alias("from_seg"), (~F.col("to_fwd")).alias("from_fwd"), F.col("from_seg").alias("to_seg"), (~F.col("from_fwd")).alias("to_fwd"))
 
 
-def step_pairs(steps: DataFrame) -> DataFrame:
+def step_pairs(steps: DataFrame, longest: int | None = None) -> DataFrame:
     """path_id, step_idx (of the first), and the ends of each pair of consecutive steps."""
-    order = Window.partitionBy("path_id").orderBy("step_idx")
-    rows = steps.select("path_id", "step_idx", F.col("seg_id").alias("from_seg"), F.col("fwd").alias("from_fwd"), F.lead("seg_id").over(order).alias("to_seg"), F.lead("fwd").over(order).alias("to_fwd"))
-    return rows.where("to_seg IS NOT NULL")
+    rows = steps.select("path_id", "step_idx", F.col("seg_id").alias("from_seg"), F.col("fwd").alias("from_fwd"))
+    return with_next(rows, "path_id", "step_idx", {"from_seg": "to_seg", "from_fwd": "to_fwd"}, longest).where("to_seg IS NOT NULL")
 
 
 def missing_links(g: Graph) -> DataFrame:
@@ -29,7 +29,7 @@ def missing_links(g: Graph) -> DataFrame:
     in either reading; one row for each time they occur."""
     ends = g.links.select(*ENDS)
     either = ends.unionAll(reversed_links(ends)).distinct()
-    return step_pairs(g.steps).join(either, ENDS, "left_anti").join(g.paths.select("path_id", "name"), "path_id").select("path_id", "name", "step_idx", *ENDS)
+    return step_pairs(g.steps, g.longest).join(either, ENDS, "left_anti").join(g.paths.select("path_id", "name"), "path_id").select("path_id", "name", "step_idx", *ENDS)
 
 
 def missing_link_messages(g: Graph) -> DataFrame:
@@ -40,18 +40,20 @@ def missing_link_messages(g: Graph) -> DataFrame:
     return rows.select("path_id", "step_idx", text.alias("message"))
 
 
-def path_overlaps(g: Graph, names: list[str]) -> DataFrame:
+def path_overlaps(g: Graph, names: list[str] | None = None) -> DataFrame:
     """ord, name, start, end, other_id, other: for each named path, the other paths with an oriented handle of it.
 
-    start is 0 and end the path's length; rows come by ord, then other_id. An unknown name is an error.
+    start is 0 and end the path's length; rows come by ord, then other_id. An unknown name is an error. Without names
+    every path is asked for, with its id as ord.
     """
     from .depth import named_paths
 
-    asked = named_paths(g, names, strict=True)
+    asked = g.paths.select(F.col("path_id").alias("ord"), "path_id", "name") if names is None else named_paths(g, names, strict=True)
     handles = g.steps.select("path_id", "seg_id", "fwd").distinct()
-    own = handles.join(F.broadcast(asked.select("path_id").distinct()), "path_id", "left_semi").withColumnRenamed("path_id", "own_id")
+    own = handles if names is None else handles.join(asked.select("path_id").distinct(), "path_id", "left_semi")
+    own = own.withColumnRenamed("path_id", "own_id")
     met = own.join(handles.withColumnRenamed("path_id", "other_id"), ["seg_id", "fwd"]).where("own_id <> other_id").select("own_id", "other_id").distinct()
-    lengths = path_length(g, sorted(set(names))).select(F.col("path_id").alias("own_id"), "length")
+    lengths = path_length(g, None if names is None else sorted(set(names))).select(F.col("path_id").alias("own_id"), "length")
     others = g.paths.select(F.col("path_id").alias("other_id"), F.col("name").alias("other"))
     rows = asked.select("ord", F.col("path_id").alias("own_id"), "name").join(met, "own_id").join(lengths, "own_id").join(others, "other_id")
     return rows.select("ord", "name", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), "other_id", "other")

@@ -6,23 +6,25 @@ a pair that shares several bins is kept in the first of them only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import sums_within
 from ..functions.sequences import oriented
 from ..plans.graph import Graph
 from .depth import step_counts_by_segment
 
 #: Base pairs a bin of an interval join.
 BIN = 1 << 12
+#: Windows that one row of an interval lists at once.
+WINDOWS = 1 << 12
 
 
 def positioned(g: Graph, steps: DataFrame | None = None, *columns: str) -> DataFrame:
     """The steps with len, pos (offset where the step begins) and more columns of their segments."""
     steps = g.steps if steps is None else steps
-    before = Window.partitionBy("path_id").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1)
     rows = steps.join(g.segments.select("seg_id", "len", *columns), "seg_id")
-    return rows.withColumn("pos", F.coalesce(F.sum("len").over(before), F.lit(0)))
+    return sums_within(rows, "path_id", "step_idx", {"pos": F.col("len")}, g.longest)
 
 
 def path_sequences(g: Graph) -> DataFrame:
@@ -74,21 +76,27 @@ def make_windows(bed: DataFrame, size: int) -> DataFrame:
     """
     if size < 1:
         raise ValueError("windows need a positive size")
-    starts = F.when(F.col("start") < F.col("end"), F.sequence(F.col("start"), F.col("end") - 1, F.lit(size).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    rows = bed.select("ord", "name", F.col("end").alias("stop"), F.posexplode(starts).alias("win", "start"))
-    return rows.select("ord", F.col("win").cast("long").alias("win"), "name", "start", F.least(F.col("start") + size, F.col("stop")).alias("end"))
+    # First stretches of many windows, then windows, so a long interval is no long array.
+    none = F.array().cast("array<bigint>")
+    stretches = F.when(F.col("start") < F.col("end"), F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1 - F.col("start")) / (size * WINDOWS)))).otherwise(none)
+    rows = bed.select("ord", "name", F.col("start").alias("first"), F.col("end").alias("stop"), F.explode(stretches).alias("stretch"))
+    last = F.least((F.col("stretch") + 1) * WINDOWS - 1, F.floor((F.col("stop") - 1 - F.col("first")) / size))
+    rows = rows.select("ord", "name", "first", "stop", F.explode(F.sequence(F.col("stretch") * WINDOWS, last)).alias("win"))
+    start = F.col("first") + F.col("win") * size
+    return rows.select("ord", "win", "name", start.alias("start"), F.least(start + size, F.col("stop")).alias("end"))
 
 
-def interval_depth(g: Graph, bed: DataFrame, key: tuple[str, ...] = ("ord",), width: int = BIN) -> DataFrame:
+def interval_depth(g: Graph, bed: DataFrame, key: tuple[str, ...] = ("ord",), width: int = BIN, only: DataFrame | None = None) -> DataFrame:
     """The key columns, name, start, end, covered, mean_depth: depth of a path's base pairs by interval.
 
     `bed` names a path in each row and is told apart by `key`. covered is the sum of depth times overlap, and
     the mean divides it by the interval's width. Intervals of unknown paths have no row; those past the end
-    of their path have a mean of 0; empty ones NaN.
+    of their path have a mean of 0; empty ones NaN. `only` (one column, seg_id) may name the segments that the asked
+    paths visit, so that others need not be counted.
     """
     asked = bed.join(g.paths.select(F.col("path_id").alias("path_key"), "name"), "name").withColumns({"a_start": F.col("start"), "a_end": F.col("end")})
     steps = g.steps.join(asked.select(F.col("path_key").alias("path_id")).distinct(), "path_id", "left_semi")
-    rows = positioned(g, steps).join(step_counts_by_segment(g), "seg_id")
+    rows = positioned(g, steps).join(step_counts_by_segment(g, only), "seg_id")
     spans = rows.select(F.col("path_id").alias("path_key"), "depth", F.col("pos").alias("b_start"), (F.col("pos") + F.col("len")).alias("b_end"))
     pairs = range_join(asked.select(*key, "path_key", "a_start", "a_end"), spans, "path_key", width)
     shared = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
@@ -104,7 +112,8 @@ def window_depth(g: Graph, name: str, size: int) -> DataFrame:
 
     found = named_paths(g, [name], strict=True).select("path_id")
     whole = as_bed(path_length(g, [name]).join(found, "path_id", "left_semi"))
-    return interval_depth(g, make_windows(whole, size), ("ord", "win"))
+    own = g.steps.join(found, "path_id", "left_semi").select("seg_id").distinct()
+    return interval_depth(g, make_windows(whole, size), ("ord", "win"), only=own)
 
 
 def bed_intersect(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import bounded
 from ..functions.sequences import oriented, sign
 from ..plans.graph import Graph
 
@@ -34,12 +35,12 @@ def _resolved(g: Graph, rows: DataFrame, strict: bool, *columns: str) -> DataFra
 
 
 def chunks(g: Graph, reads: DataFrame, strict: bool = True) -> DataFrame:
-    """file, read_ord, read, index, seg_id, seg_name, fwd, kind, start, end, len, seq of every step of every read.
+    """file, read_ord, read, index, seg_id, seg_name, fwd, kind, start, end, len of every step of every read.
 
     kind is none, all or partial; start and end are half-open within the step (null for none). An unknown
     segment is an error, or with strict=False its step is left out.
     """
-    rows = _resolved(g, read_handles(reads, F.col("name").alias("read"), F.col("start").alias("s"), F.col("end").alias("e")), strict, "len", "seq")
+    rows = _resolved(g, read_handles(reads, F.col("name").alias("read"), F.col("start").alias("s"), F.col("end").alias("e")), strict, "len")
     walk = Window.partitionBy(*KEY).orderBy("index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*KEY)
     rows = rows.withColumn("b", F.sum("len").over(walk)).withColumn("a", F.col("b") - F.col("len"))
@@ -51,7 +52,12 @@ def chunks(g: Graph, reads: DataFrame, strict: bool = True) -> DataFrame:
     kind = F.when(skipped, "none").when(is_first | is_last, "partial").otherwise("all")
     start = F.when(skipped, None).when(is_first, F.col("s") - F.col("a")).otherwise(0)
     end = F.when(skipped, None).when(is_last, F.col("e") - F.col("a")).otherwise(F.col("len"))
-    return rows.select(*KEY, "read", F.col("index").cast("long").alias("index"), "seg_id", "seg_name", "fwd", kind.alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), "len", "seq")
+    return rows.select(*KEY, "read", F.col("index").cast("long").alias("index"), "seg_id", "seg_name", "fwd", kind.alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), "len")
+
+
+def with_sequences(g: Graph, rows: DataFrame) -> DataFrame:
+    """Chunks with seq, the segment's sequence; chunks of kind none are left out, as they have none."""
+    return rows.where("kind <> 'none'").join(g.segments.select("seg_id", "seq"), "seg_id")
 
 
 def closed_range(kind: Column, start: Column, end: Column, length: Column) -> tuple[Column, Column]:
@@ -81,7 +87,7 @@ def _per_read(reads: DataFrame, rows: DataFrame, part: Column, between: str, nam
 
 def read_sequences(g: Graph, reads: DataFrame, strict: bool = True) -> DataFrame:
     """file, read_ord, name, seq: the oriented sequences of a read's chunks one after the other."""
-    rows = chunks(g, reads, strict)
+    rows = with_sequences(g, chunks(g, reads, strict))
     return _per_read(reads, rows, chunk_sequence(*(F.col(c) for c in ("kind", "seq", "fwd", "start", "end"))), "", "seq")
 
 
@@ -103,8 +109,8 @@ def presence(g: Graph, reads: DataFrame, files: DataFrame | None = None, strict:
     """
     seen = _resolved(g, read_handles(reads).select("file", "seg_name").distinct(), strict).select("file", "seg_id").distinct().withColumn("present", F.lit(True))
     files = (files if files is not None else reads.select("file")).select("file").distinct()
-    # Every file with every segment is the result itself.
-    grid = g.segments.select("seg_id").crossJoin(F.broadcast(files))
+    # Every file with every segment is the result itself; the files are the few of the two.
+    grid = g.segments.select("seg_id").crossJoin(bounded(files))
     return grid.join(seen, ["file", "seg_id"], "left").na.fill(False, ["present"])
 
 

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import numbered, sums_before
+from ..functions.prefix import bounded, numbered, sums_before, sums_within
 from ..plans.graph import CIGAR, Graph, empty
 from .links import ENDS, step_pairs
 from .positions import positioned
@@ -37,8 +37,7 @@ def _cut(g: Graph, pieces: DataFrame) -> Graph:
 
     # A step on n pieces becomes n steps; where they begin on the path is a running sum.
     steps = g.steps.join(spans.select("seg_id", "first", "n"), "seg_id").where("n > 0")
-    before = Window.partitionBy("path_id").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0))).select("path_id", "at", "first", "n", "fwd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("piece"))
+    steps = sums_within(steps, "path_id", "step_idx", {"at": F.col("n")}, g.longest).select("path_id", "at", "first", "n", "fwd", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("piece"))
     new_seg = F.when(F.col("fwd"), F.col("first") + F.col("piece")).otherwise(F.col("first") + F.col("n") - 1 - F.col("piece"))
     steps = steps.select("path_id", (F.col("at") + F.col("piece")).alias("step_idx"), new_seg.alias("seg_id"), "fwd")
     return drop_overlaps(g).with_tables(segments=segments, steps=steps, links=empty(g.spark, "links")), spans.select("seg_id", "first", "n")
@@ -73,9 +72,10 @@ def _chopped_links(g: Graph, spans: DataFrame) -> DataFrame:
 
 
 def flipped_paths(g: Graph) -> DataFrame:
-    """path_id, name, flips: whether a path has more base pairs backward than forward."""
-    sums = g.steps.join(g.segments.select("seg_id", "len"), "seg_id").groupBy("path_id").agg(F.sum(F.when(F.col("fwd"), F.col("len")).otherwise(-F.col("len"))).alias("lead"))
-    return g.paths.select("path_id", "name").join(sums, "path_id", "left").select("path_id", "name", F.coalesce(F.col("lead") < 0, F.lit(False)).alias("flips"))
+    """path_id, name, flips (whether a path has more base pairs backward than forward) and n_steps."""
+    lead = F.sum(F.when(F.col("fwd"), F.col("len")).otherwise(-F.col("len")))
+    sums = g.steps.join(g.segments.select("seg_id", "len"), "seg_id").groupBy("path_id").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n_steps"))
+    return g.paths.select("path_id", "name").join(sums, "path_id", "left").select("path_id", "name", F.coalesce(F.col("lead") < 0, F.lit(False)).alias("flips"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
 
 
 def deduplicated_links(links: DataFrame, order: list[str]) -> DataFrame:
@@ -91,14 +91,16 @@ def flip(g: Graph) -> Graph:
     """Paths with more base pairs backward than forward are turned round and renamed with _inv; all paths
     lose their overlaps; the links that turned paths need are added after the old ones, duplicates dropped."""
     turned = flipped_paths(g)
-    counts = Window.partitionBy("path_id")
-    steps = g.steps.join(turned.select("path_id", "flips"), "path_id").withColumn("n", F.count(F.lit(1)).over(counts))
-    steps = steps.select("path_id", F.when(F.col("flips"), F.col("n") - 1 - F.col("step_idx")).otherwise(F.col("step_idx")).alias("step_idx"), "seg_id", (F.col("fwd") != F.col("flips")).alias("fwd"), "flips")
-    paths = drop_overlaps(g).paths.join(turned.select("path_id", "flips"), "path_id").withColumn("name", F.when(F.col("flips"), F.concat("name", F.lit("_inv"))).otherwise(F.col("name"))).drop("flips")
-    needed = step_pairs(steps.where("flips")).select(F.lit(1).alias("part"), F.col("path_id").alias("a"), F.col("step_idx").alias("b"), *ENDS, F.array(F.struct(F.lit(0).alias("len"), F.lit("M").alias("op"))).alias("overlap"))
+    steps = g.steps.join(turned.select("path_id", "flips", "n_steps"), "path_id")
+    steps = steps.select("path_id", F.when(F.col("flips"), F.col("n_steps") - 1 - F.col("step_idx")).otherwise(F.col("step_idx")).alias("step_idx"), "seg_id", (F.col("fwd") != F.col("flips")).alias("fwd"), "flips")
+    from ..sources.gfa_text import path_key
+
+    # Turned paths keep the place of their old names in canonical text.
+    paths = drop_overlaps(g).paths.join(turned.select("path_id", "flips"), "path_id").withColumn("sort_name", path_key(g.paths)).withColumn("name", F.when(F.col("flips"), F.concat("name", F.lit("_inv"))).otherwise(F.col("name"))).drop("flips")
+    needed = step_pairs(steps.where("flips"), g.longest).select(F.lit(1).alias("part"), F.col("path_id").alias("a"), F.col("step_idx").alias("b"), *ENDS, F.array(F.struct(F.lit(0).alias("len"), F.lit("M").alias("op"))).alias("overlap"))
     old = g.links.select(F.lit(0).alias("part"), F.col("link_id").alias("a"), F.lit(0).cast("long").alias("b"), *ENDS, same_overlap(F.col("overlap")).alias("overlap"))
     links = numbered(deduplicated_links(old.unionByName(needed), ["part", "a", "b"]), "link_id", F.col("part"), F.col("a"), F.col("b"))
-    return g.with_tables(paths=paths, steps=steps.drop("flips"), links=links.select("link_id", *ENDS, "overlap"))
+    return g.with_tables(paths=paths, steps=steps.drop("flips"), links=links.select("link_id", *ENDS, "overlap"), longest=g.longest)
 
 
 def same_overlap(overlap: Column) -> Column:
@@ -136,20 +138,21 @@ def inject(g: Graph, bed: list[tuple[str, int, int, str]]) -> Graph:
     known = {r["name"] for r in g.paths.where(F.col("name").isin(wanted)).select("name").collect()} if wanted else set()
     rows = _source_rows(bed, known)
     asked = g.spark.createDataFrame(rows, "ord long, name string, low long, high long, new string").join(g.paths.select("path_id", "name"), "name")
-    touched = g.steps.join(F.broadcast(asked.select("path_id").distinct()), "path_id", "left_semi")
+    few = bounded(asked.select("path_id").distinct())
+    touched = g.steps.join(few, "path_id", "left_semi")
     spans = positioned(g, touched)
     points = asked.select("path_id", F.explode(F.array("low", "high")).alias("point")).distinct()
-    hit = spans.join(F.broadcast(points), "path_id").where("pos < point AND point < pos + len")
+    hit = spans.join(bounded(points), "path_id").where("pos < point AND point < pos + len")
     cuts = hit.select("seg_id", F.when(F.col("fwd"), F.col("point") - F.col("pos")).otherwise(F.col("len") - (F.col("point") - F.col("pos"))).alias("cut")).groupBy("seg_id").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
     pieces = g.segments.select("seg_id").join(cuts, "seg_id", "left").select("seg_id", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"), F.lit(False).alias("dropped"))
     out, _ = _cut(g, pieces)
 
-    inside = positioned(out, out.steps.join(F.broadcast(asked.select("path_id").distinct()), "path_id", "left_semi")).join(F.broadcast(asked.select("path_id", "ord", "low", "high")), "path_id").where("low <= pos AND pos + len <= high")
+    inside = positioned(out, out.steps.join(few, "path_id", "left_semi")).join(bounded(asked.select("path_id", "ord", "low", "high")), "path_id").where("low <= pos AND pos + len <= high")
     last = g.paths.agg(F.coalesce(F.max("path_id") + 1, F.lit(0)).alias("first_new"))
     order = Window.partitionBy("ord").orderBy("step_idx")
     new_steps = inside.join(F.broadcast(last)).select((F.col("first_new") + F.col("ord")).alias("path_id"), (F.row_number().over(order) - 1).cast("long").alias("step_idx"), "seg_id", "fwd")
     new_paths = asked.join(F.broadcast(last)).select((F.col("first_new") + F.col("ord")).alias("path_id"), F.col("new").alias("name"), F.lit(None).cast(f"array<{CIGAR.simpleString()}>").alias("overlaps"))
-    return out.with_tables(paths=out.paths.unionByName(new_paths), steps=out.steps.unionByName(new_steps))
+    return out.with_tables(paths=out.paths.unionByName(new_paths, allowMissingColumns=True), steps=out.steps.unionByName(new_steps))
 
 
 def fasta_places(g: Graph) -> DataFrame:
@@ -213,12 +216,14 @@ def drop_some_links(g: Graph, keep_percent: int = 10, seed: int = 4) -> Graph:
 
 
 def random_bed(g: Graph, seed: int = 4) -> list[tuple[str, int, int, str]]:
-    """Up to five random sub-intervals of each path: rows for inject."""
+    """Up to five random sub-intervals of each path, none of an empty one: rows for inject."""
     from .depth import path_length
 
     draw, out = random.Random(seed), []
     for r in path_length(g).orderBy("path_id").collect():
         for i in range(draw.randint(0, 5)):
+            if r["length"] < 1:
+                continue  # an empty path has no sub-interval
             low = draw.randint(0, r["length"] - 1)
             out.append((r["name"], low, draw.randint(low + 1, r["length"]), f"{r['name']}_{i}"))
     return out

@@ -24,7 +24,8 @@ class Graph:
     """Segments and links are the graph, paths and steps its walks; lines remembers the order of a text file.
 
     seg_id, path_id and link_id count from 0 in file order; step_idx counts from 0 along a path.
-    A handle is the pair (seg_id, fwd).
+    A handle is the pair (seg_id, fwd). longest is a bound of the steps on a path, where one is known: walks along
+    short paths need no second level of sums. Nothing depends on it but plans.
     """
 
     headers: DataFrame
@@ -33,6 +34,7 @@ class Graph:
     steps: DataFrame
     links: DataFrame
     lines: DataFrame | None = None
+    longest: int | None = None
 
     @property
     def spark(self):
@@ -40,7 +42,7 @@ class Graph:
 
     def with_tables(self, **tables) -> Graph:
         """The graph with some tables replaced; a changed graph has no line order."""
-        return replace(self, **({"lines": None} | tables))
+        return replace(self, **({"lines": None} | ({"longest": None} if "steps" in tables else {}) | tables))
 
     def cached(self) -> Graph:
         """Keep the tables in executor memory: for several operators on one graph."""

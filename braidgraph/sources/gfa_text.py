@@ -15,7 +15,7 @@ def read_gfa(spark: SparkSession, path: str, mode: str = "lenient") -> Graph:
     """The graph of one text file; .gz files are decompressed.
 
     lenient: lines are trimmed, blank lines skipped, fields may be parted by spaces, link tags ignored.
-    strict: fields are parted by tabs, and anything that doesn't fit is an error. Segment tags and the last,
+    strict: fields are parted by tabs, and anything that doesn't fit, unknown operations of overlaps too, is an error. Segment tags and the last,
     unterminated line are kept in both. A name that no segment has is an error.
     """
     if path.endswith(".og"):
@@ -63,11 +63,11 @@ def graph_of(lines: DataFrame, mode: str = "lenient") -> Graph:
     l = of("L", -1)  # noqa: E741
     shape = F.size("f") == 6 if strict else F.size("f") >= 6
     f1 = need(shape, F.get("f", F.lit(1)), "not a link: ", "string")
-    links = l.select(F.col("ord").alias("link_id"), f1.cast("long").alias("from_name"), parse_sign(F.get("f", F.lit(2))).alias("from_fwd"), F.get("f", F.lit(3)).cast("long").alias("to_name"), parse_sign(F.get("f", F.lit(4))).alias("to_fwd"), parse_cigar(F.get("f", F.lit(5))).alias("overlap"))
+    links = l.select(F.col("ord").alias("link_id"), f1.cast("long").alias("from_name"), parse_sign(F.get("f", F.lit(2))).alias("from_fwd"), F.get("f", F.lit(3)).cast("long").alias("to_name"), parse_sign(F.get("f", F.lit(4))).alias("to_fwd"), parse_cigar(F.get("f", F.lit(5)), strict).alias("overlap"))
     links = resolved(resolved(links, "from_name", "from_seg"), "to_name", "to_seg").select("link_id", "from_seg", "from_fwd", "to_seg", "to_fwd", "overlap")
 
     p = of("P", -1).select("ord", need(F.size("f") >= 4, F.get("f", F.lit(1)), "not a path: ", "string").alias("name"), F.get("f", F.lit(2)).alias("walk"), F.get("f", F.lit(3)).alias("laps"))
-    laps = F.when(F.col("laps") != "*", F.transform(F.split("laps", ","), parse_cigar))
+    laps = F.when(F.col("laps") != "*", F.transform(F.split("laps", ","), lambda x: parse_cigar(x, strict)))
     n_steps = F.when(F.col("walk") == "", 0).otherwise(F.size(F.split("walk", ",")))
     fits = laps.isNull() | F.size(laps).isin(0) | (F.size(laps) == n_steps) | (F.size(laps) == n_steps - 1)
     checked = laps if not strict else F.when(F.coalesce(fits, F.lit(True)), laps).otherwise(_fail("a path needs as many overlaps as steps, or one less: ", F.col("name")).cast("array<array<struct<len:int,op:string>>>"))
@@ -85,6 +85,11 @@ def _numbered_by_kind(lines: DataFrame) -> DataFrame:
     return rows.withColumn("ord", found).drop(*(f"before_{k}" for k in "HSPL"))
 
 
+def path_key(paths: DataFrame) -> Column:
+    """What canonical text sorts paths by: the name, or where a path was renamed its sort_name."""
+    return F.coalesce("sort_name", "name") if "sort_name" in paths.columns else F.col("name")
+
+
 def header_lines(g: Graph) -> DataFrame:
     return g.headers.select("ord", F.concat(F.lit("H\t"), F.col("text")).alias("text"))
 
@@ -144,8 +149,8 @@ def canonical_lines(g: Graph, links: bool = True) -> DataFrame:
     """section, key, text: headers, then segments and paths by name as text, then links by their canonical line."""
     rows = header_lines(g).select(F.lit(0).alias("section"), F.format_string("%020d", "ord").alias("key"), "text")
     rows = rows.unionByName(segment_lines(g, tags=False).select(F.lit(1).alias("section"), F.col("name").cast("string").alias("key"), "text"))
-    # A turned path keeps the place of its old name.
-    rows = rows.unionByName(path_lines(g).select(F.lit(2).alias("section"), F.regexp_replace("name", "_inv$", "").alias("key"), "text"))
+    keys = g.paths.select("path_id", path_key(g.paths).alias("key"))
+    rows = rows.unionByName(path_lines(g).join(keys, "path_id").select(F.lit(2).alias("section"), "key", "text"))
     if links:
         rows = rows.unionByName(link_lines(g, canonical=True).select(F.lit(3).alias("section"), F.col("text").alias("key"), "text"))
     return rows

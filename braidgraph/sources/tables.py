@@ -45,19 +45,28 @@ def read_names(spark: SparkSession, path: str) -> list[str]:
     return [r["name"] for r in rows.orderBy("line_no").collect()]
 
 
-def _gaf(lines: DataFrame) -> DataFrame:
+def _gaf(lines: DataFrame, walks_only: bool = False) -> DataFrame:
     f = F.split("value", "\t")
-    rows = lines.where("trim(value) <> '' AND NOT startswith(value, '#')").select("file", F.col("line_no").alias("read_ord"), f.alias("f")).where(F.size("f") >= 9)
+    rows = lines.where("trim(value) <> '' AND NOT startswith(value, '#')").select("file", F.col("line_no").alias("read_ord"), f.alias("f"), "value")
+    if walks_only:
+        rows = rows.where(F.size("f") >= 6)
+    else:
+        bad = F.raise_error(F.concat(F.lit("a read needs nine fields: "), F.col("value"))).cast("array<string>")
+        rows = rows.withColumn("f", F.when(F.size("f") >= 9, F.col("f")).otherwise(bad))
     return rows.select("file", "read_ord", F.get("f", F.lit(0)).alias("name"), F.get("f", F.lit(5)).alias("path"), F.get("f", F.lit(7)).cast("long").alias("start"), F.get("f", F.lit(8)).cast("long").alias("end"))
 
 
-def read_gaf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, read_ord, name, path, start, end of the reads of one or more files."""
-    return _gaf(numbered_lines(spark, paths))
+def read_gaf(spark: SparkSession, paths: str | list[str], walks_only: bool = False) -> DataFrame:
+    """file, read_ord, name, path, start, end of the reads of one or more files.
 
+    Blank and # lines are skipped; any other with fewer than nine fields is an error. walks_only: for the presence
+    matrix, which reads the sixth field; six fields do (start and end are null then), lines with fewer are skipped.
+    """
+    return _gaf(numbered_lines(spark, paths), walks_only)
 
-def parse_gaf(spark: SparkSession, text: str, file: str = "") -> DataFrame:
-    return _gaf(lines_of(spark, text)).withColumn("file", F.lit(file))
+
+def parse_gaf(spark: SparkSession, text: str, file: str = "", walks_only: bool = False) -> DataFrame:
+    return _gaf(lines_of(spark, text), walks_only).withColumn("file", F.lit(file))
 
 
 def write_bundle(g: Graph, path: str) -> None:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidgraph import cli
+from braidgraph.functions import prefix
 from braidgraph.functions.packing import PackedSeq, pack, unpack
 from braidgraph.functions.sequences import format_number
 from braidgraph.operators import accessors, depth, extract, links, positions, reads, transforms
@@ -284,7 +285,21 @@ def test_script(spark, tmp_path):
     code = f"odgi depth -i {tmp_path}/g.gfa -r two | bedtools makewindows -b /dev/stdin -w 20 > {bed} ; odgi depth -i {tmp_path}/g.gfa -b {bed}"
     assert len(script.run(spark, code, only_plan=True).split("\n")) == 3
     (shown,) = script.run(spark, code)
-    assert script.table_text(shown) == "two\t0\t20\t2\ntwo\t20\t40\t1.85\ntwo\t40\t41\t2\n"
+    assert script.table_text(shown) == "#path\tstart\tend\tmean.depth\ntwo\t0\t20\t2\ntwo\t20\t40\t1.85\ntwo\t40\t41\t2\n"
+    assert "path-length" in script.run(spark, code, only_plan=True)
+    graph = code.split("-i ")[1].split()[0]
+    text = lambda c: "".join(map(script.table_text, script.run(spark, c)))
+    whole = text(f"odgi depth -d -i {graph}").splitlines(keepends=True)
+    assert whole[0] == "#node.id\tdepth\tdepth.uniq\n" and len(whole) == 5
+    assert text(f"odgi depth -d -i {graph} | tail -n1") == whole[-1]
+    table = script.run(spark, f"odgi depth -d -i {graph}")[0]
+    table = script.Table(spark.createDataFrame(table.rows.collect(), table.rows.schema), table.header)
+    for n in (0, 1, 4, 5, 9):
+        cut = lambda op, count: script.table_text(script._cut_lines(table, op, count))
+        assert (cut("head", str(n)), cut("tail", str(n)), cut("tail", f"+{n}")) == ("".join(whole[:n]), "".join(whole[len(whole) - min(n, 5) :]), "".join(whole[max(0, n - 1) :])), n
+    assert text(f"odgi depth -r two -i {graph}") == "#path\tstart\tend\tmean.depth\n" + "two\t0\t41\t1.93\n"
+    with pytest.raises(Exception, match="no such path"):
+        text(f"odgi depth -r none -i {graph} | bedtools makewindows -b /dev/stdin -w 3")
     assert bed.read_text() == "two\t0\t20\ntwo\t20\t40\ntwo\t40\t41\n"
     for wrong in ("rm x", "odgi depth -i a && odgi depth -i b", "odgi depth -q"):
         with pytest.raises(script.ScriptError):
@@ -331,3 +346,99 @@ def test_stream(spark, tmp_path, tiny):
     q = visits(tiny, stream_reads(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("visits").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("visits"), "seg_id") == [(0, 2), (1, 2), (2, 1), (3, 1)]
+
+
+def test_strict_overlaps(spark):
+    bad = "S\t1\tAC\nS\t2\tGT\nL\t1\t+\t2\t+\t3M?2XQQ\n"
+    assert gfa_text.link_lines(gfa_text.parse_gfa(spark, bad)).first()["text"].endswith("\t3M")
+    with pytest.raises(Exception, match="not an overlap"):
+        gfa_text.link_lines(gfa_text.parse_gfa(spark, bad, "strict")).collect()
+    for good in ("*", "0M", "3M2I1D4N"):
+        assert gfa_text.link_lines(gfa_text.parse_gfa(spark, bad.replace("3M?2XQQ", good), "strict")).count() == 1
+
+
+def test_canonical_order_of_names(spark):
+    """Only a turned path keeps its old place; names that end in _inv by themselves sort as they are."""
+    text = "S\t1\tACGT\nP\ta_inv\t1+\t*\nP\ta1\t1+\t*\nP\ta\t1-\t*\nP\taa\t1+\t*\n"
+    names = lambda g: [t.split("\t")[1] for t in gfa_text.text_of(gfa_text.canonical_lines(g)).splitlines() if t.startswith("P")]
+    g = gfa_text.parse_gfa(spark, text)
+    assert names(g) == sorted(["a_inv", "a1", "a", "aa"])
+    assert names(transforms.flip(g)) == ["a_inv", "a1", "a_inv", "aa"]
+
+
+def test_short_lines_of_reads(spark):
+    text = "r1\t0\t0\t0\t+\t>1>2\n# note\n\nr2\tx\nr3\t8\t0\t8\t+\t>2\t8\t1\t2\n"
+    walks = rows(tables.parse_gaf(spark, text, walks_only=True).select("read_ord", "name", "path", "start"), "read_ord")
+    assert walks == [(0, "r1", ">1>2", None), (4, "r3", ">2", 1)]
+    with pytest.raises(Exception, match="nine fields"):
+        tables.parse_gaf(spark, text).collect()
+
+
+def test_line_counts(spark, tmp_path):
+    for i, (data, n) in enumerate([(b"", 0), (b"a\nb\n", 2), (b"a\nb", 1), (b"\n", 1), (b"a\r\nb\rc\n", 2)]):
+        (tmp_path / f"{i}.txt").write_bytes(data)
+        assert text.line_count(spark, str(tmp_path / f"{i}.txt")) == n, data
+
+
+def test_random_bed_of_empty_paths(spark):
+    g = gfa_text.parse_gfa(spark, "S\t1\tACGT\nP\tnone\t\t*\nP\tsome\t1+\t*\n", "strict").cached()
+    for seed in range(8):
+        assert all(name == "some" and 0 <= low < high <= 4 for name, low, high, _ in transforms.random_bed(g, seed))
+
+
+def test_paths_longer_than_a_bucket(spark, monkeypatch):
+    """Sums, neighbours and gaps of paths over many buckets, one path with nine in ten of the steps."""
+    draw = random.Random(8)
+    n = {"long": 90, "short": 3, "other": 7}
+    lines = "".join(f"S\t{i}\t{'A' * (i % 4)}\n" for i in range(1, 31))
+    walks = {k: [(draw.randint(1, 30), draw.random() < 0.5) for _ in range(m)] for k, m in n.items()}
+    lines += "".join(f"P\t{k}\t{','.join(f'{s}{"+" if f else "-"}' for s, f in w)}\t*\n" for k, w in walks.items())
+    g = gfa_text.parse_gfa(spark, lines, "strict").cached()
+    inside = spark.createDataFrame([(3,), (7,), (20,)], "seg_id long")
+    asked = {
+        "positions": lambda: rows(positions.positioned(g).select("path_id", "step_idx", "pos"), "path_id", "step_idx"),
+        "pairs": lambda: rows(links.step_pairs(g.steps), "path_id", "step_idx"),
+        "chop": lambda: rows(transforms.chop(g, 2).steps, "path_id", "step_idx"),
+        "gaps": lambda: rows(extract.gap_segments(positions.positioned(g), inside, 60), "seg_id"),
+        "subpaths": lambda: rows(extract.subpaths(g, inside)[0].select("path_id", "name", "n_steps"), "path_id"),
+    }
+    plain = {k: f() for k, f in asked.items()}
+    for bucket in (7, 10):
+        monkeypatch.setattr(prefix, "BUCKET", bucket)
+        assert {k: f() for k, f in asked.items()} == plain
+    pos = {(p, i): x for p, i, x in plain["positions"]}
+    for p, (k, w) in enumerate(walks.items()):
+        at = 0
+        for i, (s, _) in enumerate(w):
+            assert pos[p, i] == at
+            at += s % 4
+    assert [(r[2], r[4]) for r in plain["pairs"] if r[0] == 0] == [(a[0] - 1, b[0] - 1) for a, b in zip(walks["long"], walks["long"][1:])]
+
+
+def in_turn(walks, lengths, found, most, times):
+    """Gaps filled path after path, the slow way."""
+    inside = set(found)
+    for _ in range(times):
+        for walk in walks:
+            gap, visited, at = [], False, 0
+            for s in walk:
+                if s in inside:
+                    if visited and at <= most:
+                        inside.update(gap)
+                    gap, visited = [], True
+                else:
+                    gap.append(s)
+                at += lengths[s]
+    return inside
+
+
+def test_gaps_in_turn(spark):
+    draw = random.Random(9)
+    for trial in range(6):
+        lengths = [draw.randint(0, 3) for _ in range(20)]
+        walks = [[draw.randrange(20) for _ in range(draw.randint(2, 9))] for _ in range(5)]
+        text_ = "".join(f"S\t{i + 1}\t{'A' * x}\n" for i, x in enumerate(lengths)) + "".join(f"P\tp{i}\t{','.join(f'{s + 1}+' for s in w)}\t*\n" for i, w in enumerate(walks))
+        g = gfa_text.parse_gfa(spark, text_, "strict").cached()
+        found, most, times = draw.sample(range(20), 3), draw.choice([2, 6, 100]), 1 + trial % 2
+        got = extract.fill_gaps_in_turn(g, spark.createDataFrame([(s,) for s in found], "seg_id long"), most, times)
+        assert {r[0] for r in got.collect()} == in_turn(walks, lengths, found, most, times), trial
