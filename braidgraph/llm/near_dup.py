@@ -4,10 +4,11 @@ Equal texts meet by a 128-bit key of their words and count once from then on. Ea
 a signature; texts that agree in all coordinates of a band share a bucket. Every member of a bucket is
 compared with three hubs: the most central member (the one whose buckets are fullest: the original
 of a group of copies shares most buckets), the least and the greatest. That settles buckets of up to
-three. In larger buckets that still hold several components, the members outside the largest one are
-compared with all members in blocks; a block's task sends only links that join two components, so
-its output grows with its members, not their pairs. All pairs are verified on the words themselves
-before they link, and the classes are the connected components of the links.
+three. In larger buckets that still hold several components, the members outside the largest one meet all
+members in pairs of blocks: first by signature alone, which tells the members that have a likely partner in the other
+block, then those with their texts. A task sends members, or links that join two components, so its output grows with
+its members, not their pairs. All pairs are verified on the words themselves before they link, and the classes are the
+connected components of the links.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def _fixed(values: np.ndarray) -> pa.Array:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
-    """doc, node (key of the text's words, null without words), sig, bands; one row a document."""
-    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """doc, text_key (md5), node (key of the text's words, null without words), sig, bands; one row a document."""
+    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("text_key", T.BinaryType()), T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     k = plan.bands * plan.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +75,13 @@ def signed(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame
                 if (counts == 0).any():
                     node = pc.if_else(pa.array(counts > 0), node, pa.nulls(n, pa.binary()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * plan.bands, plan.bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), node, _fixed(sig), lists], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(2).slice(at, n), node, _fixed(sig), lists], schema.names)
 
-    return map_arrow(docs.select(id_col, text_col), run, schema)
+    return map_arrow(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), _text_key(text_col)), run, schema)
+
+
+def _text_key(text_col: str):
+    return F.unhex(F.md5(text_col)).alias("text_key")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
@@ -95,11 +100,11 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _texts(nodes: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node and the text of one document for each of the nodes that has an id."""
+    """node and one of its texts for each of the nodes. A row is known by its text's hash, so ids may repeat or be null."""
     named = bounded(written(nodes.select("node").distinct(), "dup-named"), BROADCAST_ROWS)
-    some = rows.where("doc IS NOT NULL").join(named, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc"))
+    some = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
     some = bounded(written(some, "dup-some"), BROADCAST_ROWS)
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(some, "doc").select("node", "text")
+    texts = docs.select(_text_key(text_col), F.col(text_col).alias("text")).join(some, "text_key").select("node", "text")
     return written(texts.groupBy("node").agg(F.first("text").alias("text")), "dup-texts")
 
 
@@ -121,6 +126,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, t
     return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), run, schema)
 
 
+def _likely(left: pa.Table, right: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of the left, and of the right, have a partner of another label whose signature agrees in enough places."""
+    k = plan.bands * plan.rows
+    (ls, ll), (rs, rl) = ((np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, k), t["label"].to_pylist()) for t in (left, right))
+    names = {x: i for i, x in enumerate({*ll, *rl})}
+    ll, rl = (np.array([names[x] for x in side]) for side in (ll, rl))
+    rows, columns = np.zeros(len(ls), bool), np.zeros(len(rs), bool)
+    for i, s in enumerate(ls):
+        found = ((rs == s).sum(axis=1) >= plan.likely * k) & (rl != ll[i])
+        rows[i] = found.any()
+        columns |= found
+    return rows, columns
+
+
 def _joining(left: pa.Table, right: pa.Table, plan: Plan) -> tuple[list, list]:
     """Verified links between members of two blocks that join components which no link before them joined."""
     k = plan.bands * plan.rows
@@ -172,20 +191,37 @@ def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts_of, plan
     rows = written(placed.join(bounded(buckets, BROADCAST_ROWS), "bucket"), "dup-open-members")
     if rows.isEmpty():
         return members.sparkSession.createDataFrame([], pair)
-    rows = rows.join(sigs.select("node", "sig"), "node").join(texts_of(rows.select("node")), "node")
+    rows = rows.join(sigs.select("node", "sig"), "node")
     n_blocks = F.ceil(F.col("members") / plan.block).cast("int")
     rows = rows.withColumns({"own": F.pmod(F.xxhash64("node"), n_blocks).cast("int"), "all": F.sequence(F.lit(0), n_blocks - 1), "outside": F.col("label") != F.col("most")})
     # The left side goes to every block of the right side; the right side to every block that some outsider is in.
-    lefts = rows.where("outside").select("bucket", F.col("own").alias("left_block"), F.explode("all").alias("right_block"), F.lit(True).alias("is_left"), "node", "label", "sig", "text")
+    lefts = rows.where("outside").select("bucket", F.col("own").alias("left_block"), F.explode("all").alias("right_block"), F.lit(True).alias("is_left"), "node", "label", "sig")
     held = written(rows.where("outside").select("bucket", F.col("own").alias("left_block")).distinct(), "dup-blocks")
-    rights = rows.select("bucket", F.col("own").alias("right_block"), F.lit(False).alias("is_left"), "node", "label", "sig", "text").join(bounded(held, BROADCAST_ROWS), "bucket").select(*lefts.columns)
+    rights = rows.select("bucket", F.col("own").alias("right_block"), F.lit(False).alias("is_left"), "node", "label", "sig").join(bounded(held, BROADCAST_ROWS), "bucket").select(*lefts.columns)
+
+    dealt = lefts.unionByName(rights)
+    met = T.StructType([*(dealt.schema[c] for c in ("bucket", "left_block", "right_block", "is_left", "node", "label", "sig"))])
+
+    def able(table: pa.Table) -> pa.Table:
+        """The rows of a pair of blocks that have a likely partner of another component on the other side."""
+        left, right = (table.filter(pc.equal(table["is_left"], x)) for x in (True, False))
+        if not len(left) or not len(right):
+            return table.slice(0, 0)
+        rows, columns = _likely(left, right, plan)
+        return pa.concat_tables([left.filter(pa.array(rows)), right.filter(pa.array(columns))])
+
+    # Texts go only to pairs of blocks where they have somebody to be compared with.
+    dealt = written(dealt.groupBy("bucket", "left_block", "right_block").applyInArrow(able, met), "dup-able")
+    if dealt.isEmpty():
+        return members.sparkSession.createDataFrame([], pair)
+    dealt = dealt.join(texts_of(dealt.select("node")), "node")
 
     def run(table: pa.Table) -> pa.Table:
         left, right = (table.filter(pc.equal(table["is_left"], x)) for x in (True, False))
         u, v = _joining(left, right, plan) if len(left) and len(right) else ([], [])
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
-    return lefts.unionByName(rights).groupBy("bucket", "left_block", "right_block").applyInArrow(run, pair).distinct()
+    return dealt.groupBy("bucket", "left_block", "right_block").applyInArrow(run, pair).distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[DataFrame, DataFrame]:
@@ -235,8 +271,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are compared as sequences of lower-cased words. A text without words (null, empty, white
     space) has no copies and is a class of its own; a shorter text than a shingle is one shingle. Rows with
-    equal ids are one document. Null ids: class_id is that of equal texts' rows with an id, null if
-    there are none; their texts are not looked up for near copies. Other columns are not read. An empty table gives no rows.
+    equal ids are one document. Null ids: class_id is the least id among the copies that have one, null if none has.
+    Other columns are not read. An empty table gives no rows.
     """
     rows, classes = _classes(docs, id_col, text_col, plan)
     rows = rows.join(bounded(classes, BROADCAST_ROWS), "node", "left")

@@ -122,3 +122,25 @@ def test_blocks_agree_with_one_block():
     one = signatures(*shingles(whole[1], whole[2]), n, 12)
     many = np.concatenate([signatures(*shingles(d, o), len(o) - 1, 12) for _, d, o in blocks(texts, 4)])
     assert (one == many).all() and not one[1].any() and (one[0] == one[4]).all()
+
+
+def test_a_bucket_of_unlike_texts_sends_no_texts(spark):
+    """Members that share a bucket but no likely partner are told apart by signature; no text leaves its table."""
+    plan = near_dup.Plan(block=8)
+    draw = np.random.Generator(np.random.PCG64(3))
+    sigs = spark.createDataFrame([(bytes([i, 1]), draw.integers(0, 2**32, plan.bands * plan.rows, dtype=np.uint32).tobytes()) for i in range(60)], "node binary, sig binary")
+    members = sigs.selectExpr("7L AS bucket", "node")
+    labels = spark.createDataFrame([], "node binary, label binary")
+
+    def texts_of(some):
+        raise AssertionError("texts are asked for")
+
+    assert near_dup._rest(members, labels, sigs, texts_of, plan).count() == 0
+
+
+def test_null_ids_have_near_copies(spark):
+    draw = random.Random(6)
+    base = prose(draw, 100)
+    rows = [(None, base), (None, base + " end"), (5, "first " + base), (9, base + " x y"), (None, "alone " * 9)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r[0], r[1]) for r in got), key=str) == sorted([(None, 5), (None, 5), (5, 5), (9, 5), (None, None)], key=str)
