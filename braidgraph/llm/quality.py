@@ -1,7 +1,7 @@
 """Quality rules by compression bands.
 
-zstandard ratios (bytes before / bytes after) of the whole text and of its fixed chunks are held
-against limits that depend on length: too high a ratio means repetition, too low a ratio means noise.
+zstandard ratios (bytes before / bytes after) of the whole text and of its fixed chunks, the last and shorter one
+included, are held against limits that depend on length: too high a ratio means repetition, too low a ratio means noise.
 The plain rules that come first (too few words, too many words in repeated windows) are exact.
 """
 
@@ -36,11 +36,11 @@ REPORT = [
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits by length in bytes: (up to, lowest ratio, highest ratio); chunks have limits of their own.
+    """Limits by length in bytes: (up to, lowest ratio, highest ratio), for whole texts and for chunks.
 
-    A chunk is outside its band if its ratio is outside `chunk_limits`; a text fails if more than
-    `bad_share` of its full chunks are. The last, shorter chunk counts only in a text of one chunk,
-    where the whole-text band already holds.
+    A text longer than one chunk is cut into chunks of `chunk_bytes`, the last one being what remains. A chunk is outside
+    if its ratio is outside the limits for its own length; a text fails if more than `bad_share` of its bytes lie in such
+    chunks. Beyond the last length, that one's limits hold.
     """
 
     whole: tuple[tuple[float, float, float], ...] = (
@@ -51,8 +51,14 @@ class Bands:
         (float("inf"), 1.50, 8.0),
     )
     chunk_bytes: int = 4096
-    chunk_limits: tuple[float, float] = (1.35, 6.0)
-    bad_share: float = 0.5
+    chunks: tuple[tuple[float, float, float], ...] = (
+        (64, 0.35, 4.0),
+        (256, 0.75, 4.0),
+        (1024, 1.00, 4.5),
+        (2048, 1.15, 5.0),
+        (4096, 1.35, 6.0),
+    )
+    bad_share: float = 0.15
     level: int = 3
     least_words: int = 20
     window: int = 8
@@ -97,21 +103,25 @@ def _repeat_words(hashed: np.ndarray, rows: np.ndarray, n: int, size: int) -> np
     return per_row(rows[np.cumsum(edge[:-1]) > 0], n)
 
 
+def _inside(ratio: float, size: int, limits: tuple[tuple[float, float, float], ...]) -> bool:
+    low, high = next(((lo, hi) for top, lo, hi in limits if size <= top), limits[-1][1:])
+    return low <= ratio <= high
+
+
 def _ratios(text: bytes, press, bands: Bands) -> tuple[float, float, float, bool]:
-    """Whole ratio, lowest and highest ratio of the full chunks, and whether all is inside the bands."""
+    """Whole ratio, lowest and highest ratio of the chunks, and whether all is inside the bands."""
     if not text:
         return 1.0, 1.0, 1.0, True
     size = len(text)
     ratio = size / len(press(text))
-    low, high = next((lo, hi) for top, lo, hi in bands.whole if size <= top)
-    fine = low <= ratio <= high
+    fine = _inside(ratio, size, bands.whole)
     step = bands.chunk_bytes
-    if size < 2 * step:
+    if size <= step:
         return ratio, ratio, ratio, fine
-    each = [step / len(press(text[i : i + step])) for i in range(0, size - step + 1, step)]
-    lo, hi = bands.chunk_limits
-    bad = sum(not lo <= x <= hi for x in each)
-    return ratio, min(each), max(each), fine and bad <= bands.bad_share * len(each)
+    parts = [text[i : i + step] for i in range(0, size, step)]
+    each = [len(x) / len(press(x)) for x in parts]
+    bad = sum(len(x) for x, r in zip(parts, each, strict=True) if not _inside(r, len(x), bands.chunks))
+    return ratio, min(each), max(each), fine and bad <= bands.bad_share * size
 
 
 def report_block(data: np.ndarray, offsets: np.ndarray, bands: Bands, press) -> list[np.ndarray]:
@@ -170,3 +180,18 @@ def quality_filter(docs: DataFrame, text_col: str = "text", bands: Bands = Bands
                 yield b.filter(_reports(b.column(b.schema.get_field_index(text_col)), bands, press)[kept])
 
     return map_arrow(docs, run, docs.schema)
+
+
+#: The exact columns, by SQL.
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS k, * FROM d),
+l AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM i) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+x AS (SELECT k, j, list_aggregate(w[j : j + 7], 'string_agg', ' ') AS run FROM i, unnest(range(1, len(w) - 6)) AS u(j) WHERE len(w) >= 8),
+r AS (SELECT k, j FROM (SELECT k, j, count(*) OVER (PARTITION BY k, run) AS n FROM x) WHERE n >= 2),
+c AS (SELECT k, count(DISTINCT j + o) AS n FROM r, unnest(range(8)) AS u(o) GROUP BY k),
+b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+      FROM i LEFT JOIN l USING (k) LEFT JOIN c USING (k))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b
+"""

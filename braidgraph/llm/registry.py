@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, warc
+from . import decontam, mixing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op7_compression_bands, for their SQL."""
+    return op7_compression_bands(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op8_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import capture_records
 
@@ -85,9 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_weak_supervision_pii": op6_weak_supervision_pii,
     "op7_compression_bands": op7_compression_bands,
+    "quality_base_counts": quality_base_counts,
     "op8_capture_index": op8_capture_index,
     "op9_spaced_seeds": op9_spaced_seeds,
     "op10_wrappers": op10_wrappers,
 }
 
-ORACLES: dict[str, str] = {"op5_source_mix": mixing.ORACLE, "op8_capture_index": warc.ORACLE, "op9_spaced_seeds": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op5_source_mix": mixing.ORACLE, "quality_base_counts": quality.BASE_ORACLE, "op8_capture_index": warc.ORACLE, "op9_spaced_seeds": decontam.ORACLE}

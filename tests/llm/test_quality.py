@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import zstandard
+
 from braidgraph.llm.quality import Bands, quality_filter, quality_report
 
 from llm_helpers import prose
@@ -42,10 +44,38 @@ def test_bands(spark):
     texts = [prose(draw, 30), prose(draw, 300), prose(draw, 5000), noise, same, prose(draw, 3000) + " " + same * 8]
     got = [r["kept"] for r in quality_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == [True, True, True, False, False, False]
-    wide = Bands(whole=((float("inf"), 0.0, 1e9),), chunk_limits=(0.0, 1e9), most_repeat_percent=1000)
+    wide = Bands(whole=((float("inf"), 0.0, 1e9),), chunks=((float("inf"), 0.0, 1e9),), most_repeat_percent=1000)
     assert quality_report(spark.createDataFrame([(0, same)], "doc_id long, text string"), bands=wide).first()["kept"]
 
 
+def brute_kept(text, bands=Bands()):
+    """The verdict by the stated limits, chunk by chunk."""
+    raw = (text or "").encode()
+    press = zstandard.ZstdCompressor(level=bands.level)
+
+    def outside(part, limits):
+        top = [x for x in limits if len(part) <= x[0]] or [limits[-1]]
+        ratio = len(part) / len(press.compress(part))
+        return ratio < top[0][1] or ratio > top[0][2]
+
+    if brute(text)[5] or outside(raw, bands.whole):
+        return False
+    parts = [raw[i : i + bands.chunk_bytes] for i in range(0, len(raw), bands.chunk_bytes)] if len(raw) > bands.chunk_bytes else []
+    return sum(len(p) for p in parts if outside(p, bands.chunks)) <= bands.bad_share * len(raw)
+
+
+def test_verdicts(spark):
+    """All documents, and texts whose bad part is the last, shorter chunk or a shorter text's end."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    draw = random.Random(4)
+    first = 10**9
+    made = [prose(draw, 2600)[:16_384] + " z" * 2000, prose(draw, 1000)[:4096] + " z" * 1500, prose(draw, 1000)[:4096] + " end", prose(draw, 9000), prose(draw, 1300)[:8192] + base64.b64encode(draw.randbytes(3000)).decode()]
+    docs += [(first + i, t) for i, t in enumerate(made)]
+    got = {r["doc_id"]: r["kept"] for r in quality_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: brute_kept(t) for d, t in docs}
+    assert [got[first + i] for i in range(len(made))] == [False, False, True, True, False]
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert quality_report(odd_docs).count() == 10
     kept = quality_filter(odd_docs)
