@@ -65,3 +65,85 @@ def test_lower_bound(spark):
         logits = (lambda x: np.log(x) - np.log1p(-x))(np.clip(draw.beta(a, b, 400_000), 1e-300, 1 - 1e-16))
         got = spark.range(1).select(hr.lower_bound(F.lit(a), F.lit(b), 1.645)).first()[0]
         assert got == pytest.approx(1 / (1 + np.exp(-(logits.mean() - 1.645 * logits.std()))), rel=0.05)
+
+
+def levels_of(host, listed=()):
+    name = re.sub(r":[0-9]*$", "", host.split("@")[-1]).removesuffix(".")
+    if re.match(r"[0-9]{1,3}(\.[0-9]{1,3}){3}$|\[", name):
+        return name, "(address)", name
+    labels = name.split(".")
+    suffix = next((t for i in range(len(labels)) if (t := ".".join(labels[i:])) in listed), None)
+    if suffix is None:
+        suffix = ".".join(labels[-2:]) if len(labels) > 1 and labels[-2] in hr.SECOND_LEVEL and re.fullmatch("[a-z]{2}", labels[-1]) else labels[-1]
+    return name, suffix, ".".join(labels[-len(suffix.split(".")) - 1 :])
+
+
+HOSTS = ["1.2.3.4", "9.9.3.4:80", "a.example.com:8080", "user:pw@a.example.com", "x.gov.br", "y.x.gov.br", "b.com.sg.", "com", "co.uk", "", "me.blog.host", "you.blog.host", "blog.host", "[2001:db8::1]:443", "a.b.c.d.org"]
+
+
+@pytest.mark.parametrize("listed", [(), ("blog.host", "org")])
+def test_levels(spark, listed):
+    from pyspark.sql import functions as F
+
+    names = spark.createDataFrame([(h,) for h in HOSTS], "host string").select(hr.name_of(F.col("host")).alias("name")).distinct()
+    table = spark.createDataFrame([(x,) for x in listed], "suffix string") if listed else None
+    assert {tuple(r) for r in hr.with_levels(names, table).select("name", "suffix", "domain").collect()} == {levels_of(h, listed) for h in HOSTS}
+
+
+def slow_posteriors(hosts, outcomes):
+    """host -> (n, bad, a, b) by dictionaries."""
+    seen = {}
+    for host, bad in outcomes:
+        if bad is not None:
+            n, x = seen.get(levels_of(host), (0, 0))
+            seen[levels_of(host)] = (n + 1, x + bad)
+    every = (sum(x for _, x in seen.values()) + 0.5) / (sum(n for n, _ in seen.values()) + 1)
+
+    def strength(units):  # (n, bad, mean)
+        s = sum(n * (x / n - m) ** 2 for n, x, m in units)
+        a, b = sum(m * (1 - m) for _, _, m in units), sum(m * (1 - m) * (n - 1) for n, _, m in units)
+        return 1 / min(0.5, max(0.001, (s - a) / b if b else 0.001)) - 1
+
+    def grouped(at):
+        out = {}
+        for key, (n, x) in seen.items():
+            have = out.get(key[at], (0, 0))
+            out[key[at]] = (have[0] + n, have[1] + x)
+        return out
+
+    suffixes, parents = grouped(1), {k[2]: k[1] for k in seen}
+    m = strength([(n, x, every) for n, x in suffixes.values()])
+    suffix_rate = {k: (x + m * every) / (n + m) for k, (n, x) in suffixes.items()}
+    domains = grouped(2)
+    m = strength([(n, x, suffix_rate[parents[k]]) for k, (n, x) in domains.items()])
+    domain_rate = {k: (x + m * suffix_rate[parents[k]]) / (n + m) for k, (n, x) in domains.items()}
+    m = strength([(n, x, domain_rate[k[2]]) for k, (n, x) in seen.items()])
+    out = {}
+    for host in hosts:
+        key = levels_of(host)
+        prior = domain_rate.get(key[2], suffix_rate.get(key[1], every))
+        n, x = seen.get(key, (0, 0))
+        out[host] = (n, x, (x + m * prior) / (n + m))
+    return out
+
+
+def test_posteriors_equal_a_slow_version(spark):
+    import random
+
+    draw = random.Random(3)
+    outcomes = [(draw.choice(HOSTS), draw.choice([0, 0, 1, None])) for _ in range(300)] + [("a.b.c.d.org", 1)] * 30
+    hosts = [*HOSTS, "new.example.com", "5.5.5.5", "z.gov.br", "nowhere.xyz"]
+    got = hr.host_posteriors(spark.createDataFrame([(h,) for h in hosts * 2], "host string"), spark.createDataFrame(outcomes, "host string, bad int")).collect()
+    want = slow_posteriors(hosts, outcomes)
+    assert len(got) == len(want)
+    for r in got:
+        assert (r["n_labelled"], r["n_bad"]) == want[r["host"]][:2] and r["posterior_mean"] == pytest.approx(want[r["host"]][2]), r
+
+
+def test_repeated_ids_long_urls_and_rules_of_one_length(spark):
+    long = "http://h.com/" + "x" * 200_000
+    rows = spark.createDataFrame([(1, long), (1, long), (1, "http://h.com/b"), (None, "http://h.com/b")], "page_id long, url string")
+    rules = [("h.com/b", "block"), ("h.com/x", "allow"), ("h.com/b", "allow"), ("h.com/a", "block")]
+    none = spark.createDataFrame([], "url string, bad int")
+    got = sorted((str(r["page_id"]), len(r["path"]), r["rule"], r["verdict"]) for r in hr.judge_urls(rows, none, rules).collect())
+    assert got == [("1", 2, "h.com/b", "block"), ("1", 200_001, "h.com/x", "allow"), ("1", 200_001, "h.com/x", "allow"), ("None", 2, "h.com/b", "block")]
