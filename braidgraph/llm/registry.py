@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, warc
+from . import decontam, host_reputation, mixing, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op6_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(table(spark, sf_dir, "documents"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op6_weak_supervision_pii, for their SQL."""
+    return op6_weak_supervision_pii(spark, sf_dir).drop("spans")
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_report
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_kneser_ney": op4_kneser_ney,
     "op5_source_mix": op5_source_mix,
     "op6_weak_supervision_pii": op6_weak_supervision_pii,
+    "pii_base_spans": pii_base_spans,
     "op7_compression_bands": op7_compression_bands,
     "quality_base_counts": quality_base_counts,
     "op8_capture_index": op8_capture_index,
@@ -96,4 +102,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_wrappers": op10_wrappers,
 }
 
-ORACLES: dict[str, str] = {"op5_source_mix": mixing.ORACLE, "quality_base_counts": quality.BASE_ORACLE, "op8_capture_index": warc.ORACLE, "op9_spaced_seeds": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op2_host_reputation": host_reputation.ORACLE, "op5_source_mix": mixing.ORACLE, "pii_base_spans": pii.BASE_ORACLE, "quality_base_counts": quality.BASE_ORACLE, "op8_capture_index": warc.ORACLE, "op9_spaced_seeds": decontam.ORACLE}
