@@ -1,6 +1,6 @@
 """An interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory maps.
 
-Training, in buckets of a hash, as many as shuffle partitions:
+Training, in buckets of a hash, one for BUCKET_BYTES of text and at least as many as shuffle partitions:
 1. Tasks count 64-bit word hashes and send compressed, sorted runs; each bucket merges its runs to a
    sorted hash array with counts. A word's number is its place in all buckets one after the other.
 2. Tasks look words up in the memory-mapped arrays and send runs of (context, word) numbers; each
@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import fresh, map_arrow, mapped, read_range, scratch, write_bytes, written
+from .storage import fresh, map_arrow, mapped, read_range, remove, scratch, write_bytes, written
 from .textcols import LOWER_KEYS, blocks, hashes, mix, per_row, words
 
 #: The token at the end of every text.
 END = np.uint64(0x9D5C1B3F27A86E41)
 #: Counted keys that a task gathers before it sends them.
 GATHERED = 3_000_000
+#: Bytes of training text that one bucket is made for, so that a bucket fits in a task however large the corpus is.
+BUCKET_BYTES = 64 << 20
 HOT_SHARE = 4
 RUN = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType())])
 _U = np.uint64
@@ -225,10 +227,16 @@ def train(texts: DataFrame) -> dict:
         return _trained(texts)
 
 
+def delete_model(spark, model: dict) -> None:
+    """Remove a model's files. Nothing else does: a model outlives the query that scores with it."""
+    remove(spark, model["folder"])
+
+
 def _trained(texts: DataFrame) -> dict:
     spark = texts.sparkSession
     folder = fresh(spark, "kneser-ney")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0])).alias("n")).first()["n"] or 0
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = _Gather(lambda keys: by_range(keys, n))

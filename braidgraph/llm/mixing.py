@@ -37,7 +37,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_ra
 
     All sizes together are shared by weight; a target stops at most_rate times its source's size, and
     the excess goes to the others by weight. In order of most_rate * size / weight the full sources
-    come first, so running sums find the level at once. The table has one row a source.
+    come first, so running sums find the level at once. The table has one row a source, about 100 bytes, and one
+    task sorts it: meant for up to some ten million sources.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = Window.orderBy(F.col("source").asc_nulls_last())

@@ -1,7 +1,7 @@
 """Tables and files in the folder that driver and executors share.
 
 The folder is the one named by spark.checkpoint.dir. Where the setting is absent (tests, a local
-session) a private folder is made once and set as the checkpoint folder.
+session) a private folder is made once and set as the checkpoint folder; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import os
 import tempfile
+import threading
 import uuid
 from urllib.parse import unquote, urlsplit
 
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="braid-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -31,15 +34,22 @@ def fresh(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends, lost executors cost nothing."""
     path = fresh(df.sparkSession, name)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.braid_path = path
     return out
 
 
-_SCOPES: list[list[str]] = []
+_HELD = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The scopes around, of this thread: queries in other threads have their own."""
+    if not hasattr(_HELD, "scopes"):
+        _HELD.scopes = []
+    return _HELD.scopes
 
 
 @contextlib.contextmanager
@@ -49,18 +59,18 @@ def scratch(spark: SparkSession):
     What leaves the scope must not depend on other tables of it. Tables that are kept pass to the scope around.
     """
     paths: list[str] = []
-    _SCOPES.append(paths)
+    _scopes().append(paths)
 
     def keep(table: DataFrame) -> DataFrame:
         paths.remove(table.braid_path)
-        if len(_SCOPES) > 1:
-            _SCOPES[-2].append(table.braid_path)
+        if len(_scopes()) > 1:
+            _scopes()[-2].append(table.braid_path)
         return table
 
     try:
         yield keep
     finally:
-        _SCOPES.pop()
+        _scopes().pop()
         for path in paths:
             remove(spark, path)
 

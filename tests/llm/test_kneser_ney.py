@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -85,3 +86,14 @@ def test_hot_contexts_are_split(spark, monkeypatch):
     model = kn.train(docs.select("text"))
     assert len(model["hot"]) > 3
     check(docs)
+
+
+def test_buckets_follow_the_size_of_the_corpus(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"v{(i * 13 + j * j) % 211}" for j in range(80))) for i in range(80)], "doc_id long, text string")
+    monkeypatch.setattr(kn, "BUCKET_BYTES", 1000)
+    model = kn.train(docs.select("text"))
+    assert model["buckets"] > 20 and len(model["sizes"]) == model["buckets"]
+    check(docs)
+    assert os.listdir(model["folder"])
+    kn.delete_model(spark, model)
+    assert not os.path.exists(model["folder"])

@@ -1,12 +1,6 @@
 import random
 
-from compare import assert_equal
-
-from braidgraph.llm import mixing, registry
-
-
-def test_equals_sql(spark, small):
-    assert_equal(registry.op5_source_mix(spark, small), mixing.ORACLE, small)
+from braidgraph.llm import mixing
 
 
 def slow_targets(sizes, weights=(5, 2, 1), most=3):
