@@ -138,9 +138,9 @@ def _overlaps(texts: DataFrame, items: DataFrame, item_col: str, item_text_col:
     # Hits meet the stretch of the text that they begin in; texts without hits, and repeated texts, send nothing.
     wanted = bounded(written(hits.select("text_key").distinct(), "bench-met"), BROADCAST_HITS)
     last = F.floor((F.size("words") - 1) / STRETCH).cast("int")
-    met = texts.join(wanted, "text_key", "left_semi").select("text_key", "words", F.explode(F.sequence(F.lit(-1), last)).alias("stretch"))
-    first = F.col("stretch") * STRETCH
-    met = met.select("text_key", "stretch", F.transform(F.sequence(first, first + STRETCH + 3 * w - 3), lambda i: F.get("words", i)).alias("words")).dropDuplicates(["text_key", "stretch"])
+    stretches = F.transform(F.sequence(F.lit(-1), last), lambda n: F.struct(n.alias("stretch"), F.transform(F.sequence(n * STRETCH, (n + 1) * STRETCH + 3 * w - 3), lambda i: F.get("words", i)).alias("words")))
+    # The stretches are cut before rows are made of them: a row that carried the whole text for each would be quadratic.
+    met = texts.join(wanted, "text_key", "left_semi").select("text_key", F.explode(stretches).alias("cut")).select("text_key", "cut.stretch", "cut.words").dropDuplicates(["text_key", "stretch"])
 
     pairs = hits.join(zones, ["form", "zone"]).withColumn("at", begin + F.col("diagonal"))
     pairs = pairs.withColumn("stretch", F.floor(F.col("at") / STRETCH).cast("int")).join(met, ["text_key", "stretch"])

@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 
 #: Bytes that separate words: the class [\x20\x09-\x0D].
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes that are hashed together.
-HASHED_BYTES = 4 << 20
+HASHED_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
