@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import bounded, numbered, sums_before, sums_within
+from ..functions.prefix import bounded, checkpointed, numbered, sums_before, sums_within
 from ..plans.graph import CIGAR, Graph, empty
 from .links import ENDS, step_pairs
 from .positions import positioned
@@ -145,7 +145,9 @@ def inject(g: Graph, bed: list[tuple[str, int, int, str]]) -> Graph:
     hit = spans.join(bounded(points), "path_id").where("pos < point AND point < pos + len")
     cuts = hit.select("seg_id", F.when(F.col("fwd"), F.col("point") - F.col("pos")).otherwise(F.col("len") - (F.col("point") - F.col("pos"))).alias("cut")).groupBy("seg_id").agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
     pieces = g.segments.select("seg_id").join(cuts, "seg_id", "left").select("seg_id", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"), F.lit(False).alias("dropped"))
-    out, _ = _cut(g, pieces)
+    # The new steps are walked again: computed once.
+    out, _ = _cut(g, checkpointed(pieces))
+    out = out.with_tables(segments=checkpointed(out.segments), steps=checkpointed(out.steps))
 
     inside = positioned(out, out.steps.join(few, "path_id", "left_semi")).join(bounded(asked.select("path_id", "ord", "low", "high")), "path_id").where("low <= pos AND pos + len <= high")
     last = g.paths.agg(F.coalesce(F.max("path_id") + 1, F.lit(0)).alias("first_new"))
