@@ -1,3 +1,4 @@
+import dataclasses
 import io
 import random
 
@@ -348,6 +349,21 @@ def test_stream(spark, tmp_path, tiny):
     assert rows(spark.table("visits"), "seg_id") == [(0, 2), (1, 2), (2, 1), (3, 1)]
 
 
+@pytest.mark.parametrize("longest", [None, 12])
+@pytest.mark.parametrize("carried", [0, 3, 32])
+def test_overlaps_of_short_and_long_paths(spark, monkeypatch, carried, longest):
+    """Pairs of paths that share many handles, visit them again, or are empty, against all pairs of sets."""
+    draw = random.Random(5)
+    walks = [[(draw.randint(1, 9), draw.choice("+-")) for _ in range(draw.choice([0, 1, 2, 3, 4, 8, 12]))] for _ in range(40)]
+    text = "".join(f"S\t{i}\t{'A' * i}\n" for i in range(1, 10)) + "".join(f"P\tp{i}\t{','.join(f'{s}{o}' for s, o in w)}\t*\n" for i, w in enumerate(walks) if w)
+    g = dataclasses.replace(gfa_text.parse_gfa(spark, text), longest=longest)
+    names = [f"p{i}" for i, w in enumerate(walks) if w]
+    walks = [w for w in walks if w]
+    want = [(i, names[i], 0, sum(s for s, _ in a), j, names[j]) for i, a in enumerate(walks) for j, b in enumerate(walks) if i != j and set(a) & set(b)]
+    monkeypatch.setattr(links, "CARRIED", carried)
+    assert sorted(map(tuple, links.path_overlaps(g).collect())) == want
+
+
 def test_strict_overlaps(spark):
     bad = "S\t1\tAC\nS\t2\tGT\nL\t1\t+\t2\t+\t3M?2XQQ\n"
     assert gfa_text.link_lines(gfa_text.parse_gfa(spark, bad)).first()["text"].endswith("\t3M")

@@ -27,3 +27,16 @@ def test_names_alone_need_no_join(spark, small):
 def test_joins_have_keys(spark, small, name):
     text = plan(catalog.QUERIES[name](spark, small))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_overlaps_shuffle_steps_not_pairs(spark, small):
+    """Nothing stands above the join on handles but the reading of its pairs: they are many times the steps."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(catalog.QUERIES["path_overlaps"](spark, small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    above, join = text.split("Join", 1)
+    assert "Exchange" not in above and "Aggregate" not in above
+    assert "handle" in join.splitlines()[0]
