@@ -193,8 +193,8 @@ def _on_graph(a, g: Graph, spark: SparkSession, say, out) -> int:
         for r in found:
             say(r["name"], r["start"], r["end"], r["other"])
     elif c == "somepaths":
-        for name in transforms.sampled_names(g, a.percent):
-            say(name)
+        for r in _rows(transforms.sampled_names(g, a.percent), "ord"):
+            say(r["name"])
     elif c == "validate":
         for r in _rows(links.missing_link_messages(g), "path_id", "step_idx"):
             say(r["message"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import bounded, checkpointed, numbered, sums_before, sums_within
@@ -12,6 +14,9 @@ from ..plans.graph import CIGAR, Graph, empty
 from .links import ENDS, step_pairs
 from .positions import positioned
 
+#: Numbers that a sample draws at a time.
+DRAWS = 1 << 16
+
 
 def drop_overlaps(g: Graph) -> Graph:
     return g.with_tables(paths=g.paths.withColumn("overlaps", F.lit(None).cast(f"array<{CIGAR.simpleString()}>")))
@@ -180,26 +185,79 @@ def fasta_lines(g: Graph, width: int = 80) -> DataFrame:
 
 
 def some_paths(g: Graph, drop_percent: int, seed: int = 4) -> Graph:
-    """The graph without a share of its paths, drawn by Python's generator over the names in order.
-
-    The names pass through the driver, for the same draw as the specification; see hashed_paths for large graphs.
-    """
-    kept = sampled_names(g, drop_percent, seed)
-    wanted = g.spark.createDataFrame([(n,) for n in kept], "name string")
+    """The graph without a share of its paths, drawn like Python's generator draws from the names in order."""
+    wanted = sampled_names(g, drop_percent, seed).select("name")
     paths = g.paths.join(wanted, "name", "left_semi").select(*g.paths.columns)
     return g.with_tables(paths=paths, steps=g.steps.join(paths.select("path_id"), "path_id", "left_semi"))
 
 
-def sampled_names(g: Graph, drop_percent: int, seed: int = 4) -> list[str]:
-    """The names that some_paths keeps, in the order of the draw; all of them in order if nothing is dropped."""
-    names = [r["name"] for r in g.paths.orderBy("path_id").select("name").collect()]
+def sampled_names(g: Graph, drop_percent: int, seed: int = 4) -> DataFrame:
+    """ord, name: the names that some_paths keeps, in the order of the draw; all of them in order if nothing is dropped."""
+    names = numbered(g.paths.select("path_id", "name"), "place", F.col("path_id")).select("place", "name")
     if drop_percent <= 0:
-        return names
-    return random.Random(seed).sample(names, int((100 - drop_percent) / 100 * len(names)))
+        return names.select(F.col("place").alias("ord"), "name").orderBy("ord")
+    n = names.count()
+    drawn = sampled_places(g.spark, n, int((100 - drop_percent) / 100 * n), seed)
+    return drawn.join(names, "place").select("ord", "name").orderBy("ord")
+
+
+def sampled_places(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:
+    """ord, place: what random.Random(seed).sample(range(n), k) returns, without a list of n or k anywhere.
+
+    One task draws the numbers, which follow from each other, and passes them on in blocks; where they lead is worked out
+    by joins. For a large share, Python keeps a pool of the places: draw i takes what is at its number and puts the pool's
+    last one, of n - 1 - i, there. So a draw takes its own number, or what the last draw of that number before it put
+    there; and that is n - 1 - i, or what the last draw of that number had put there.
+    """
+    if not 0 <= k <= n:
+        raise ValueError("sample larger than the paths, or negative")
+    pooled = n <= 21 + (4 ** math.ceil(math.log(k * 3, 4)) if k > 5 else 0)
+
+    def numbers():
+        below = random.Random(seed).randrange
+        if pooled:
+            yield from (below(n - i) for i in range(k))
+            return
+        seen, left = bytearray(n // 8 + 1), k
+        while left:
+            j = below(n)
+            if not seen[j >> 3] >> (j & 7) & 1:
+                seen[j >> 3] |= 1 << (j & 7)
+                left -= 1
+                yield j
+
+    def draws(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            found, first = numbers(), 0
+            while block := list(itertools.islice(found, DRAWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(block)), pa.int64()), pa.array(block, pa.int64())], names=["ord", "place"])
+                first += len(block)
+
+    drawn = spark.range(0, 1, 1, 1).mapInArrow(draws, "ord long, place long")
+    if not pooled:
+        return drawn
+    same = Window.partitionBy("place")
+    put = n - 1 - F.col("ord")
+    drawn = drawn.withColumns({"before": F.lag("ord").over(same.orderBy("ord")), "last": F.max(F.when(F.col("place") < put, F.col("ord"))).over(same)})
+    drawn = checkpointed(drawn)
+    # Of draws that put something else than n - 1 - ord: the draw that had put that there. Each round doubles the way.
+    ways = checkpointed(drawn.where("before IS NULL AND last IS NOT NULL").select((n - 1 - F.col("place")).alias("by"), F.col("last").alias("origin")).where(F.col("by") < k))
+    while True:
+        further = ways.select(F.col("by").alias("origin"), F.col("origin").alias("further"))
+        ways = checkpointed(ways.select("by", "origin").join(further, "origin", "left").select("by", F.coalesce("further", "origin").alias("origin"), F.col("further").isNotNull().alias("moved")))
+        if ways.where("moved").isEmpty():
+            break
+    ways = ways.select(F.col("by").alias("before"), "origin")
+    # A null joins nothing and would gather the first draws of all numbers in one task.
+    first = drawn.where("before IS NULL").select("ord", "place")
+    later = drawn.where("before IS NOT NULL").join(ways, "before", "left").select("ord", (n - 1 - F.coalesce("origin", "before")).alias("place"))
+    return first.unionByName(later)
 
 
 def hashed_paths(g: Graph, drop_percent: int, seed: int = 4) -> Graph:
-    """Like some_paths, with each path kept or dropped by a hash of its name: other paths, no driver."""
+    """Like some_paths, with each path kept or dropped by a hash of its name: other paths, but no draws that follow from each other."""
     paths = g.paths.where(F.pmod(F.xxhash64(F.lit(seed), "name"), F.lit(100)) >= drop_percent)
     return g.with_tables(paths=paths, steps=g.steps.join(paths.select("path_id"), "path_id", "left_semi"))
 

@@ -534,7 +534,7 @@ def extract_in_turn(g: Graph, spark, sf_dir):
 
 @query()
 def somepaths(g: Graph, spark, sf_dir):
-    return spark.createDataFrame([(i, n) for i, n in enumerate(transforms.sampled_names(g, 50))], "ord long, name string")
+    return transforms.sampled_names(g, 50)
 
 
 # Lines and exports

@@ -339,6 +339,28 @@ def test_random_helpers(tiny):
     assert transforms.drop_overlaps(tiny).paths.where("overlaps IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("n, k", [(0, 0), (1, 1), (2, 1), (5, 5), (21, 4), (22, 4), (100, 50), (700, 700), (1000, 990), (3000, 900), (3000, 120)])
+def test_samples_are_python_s(spark, n, k):
+    want = random.Random(4).sample(range(n), k)
+    assert [r["place"] for r in transforms.sampled_places(spark, n, k, 4).orderBy("ord").collect()] == want
+
+
+def test_sampled_names_stay_off_the_driver(spark, monkeypatch):
+    """The draw is that of Python's generator over the names by path_id, whose numbers may have gaps."""
+    names = [f"p{i % 7}-{i}" for i in range(300)]
+    g = gfa_text.parse_gfa(spark, "S\t1\tA\n" + "".join(f"P\t{n}\t1+\t*\n" for n in names))
+    g = g.with_tables(paths=g.paths.withColumn("path_id", F.col("path_id") * 3))
+    whole, collected = type(g.paths).collect, []
+    monkeypatch.setattr(type(g.paths), "collect", lambda self: collected.append(out := whole(self)) or out)
+    for percent in (0, 10, 50, 98):
+        got = transforms.sampled_names(g, percent)
+        assert sum(map(len, collected)) < 10
+        want = random.Random(4).sample(names, int((100 - percent) / 100 * len(names))) if percent else names
+        assert [tuple(r) for r in whole(got)] == list(enumerate(want))
+    with pytest.raises(ValueError):
+        transforms.sampled_names(g, 101)
+
+
 def test_stream(spark, tmp_path, tiny):
     from braidgraph.streaming.reads import stream_reads, visits
 
