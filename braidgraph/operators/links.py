@@ -50,61 +50,60 @@ def path_overlaps(g: Graph, names: list[str] | None = None) -> DataFrame:
     """
     from .depth import named_paths
 
+    if names is None:
+        return _all_overlaps(g)
+    asked = named_paths(g, names, strict=True)
     handles = _handles(g).distinct()
-    if names is not None:
-        asked = named_paths(g, names, strict=True)
-        met = _met(handles.join(asked.select("path_id").distinct(), "path_id", "left_semi"), handles)
-        return _overlap_rows(g, asked, met, path_length(g, sorted(set(names))))
-    walks = _walks(g)
-    rows = _short_overlaps(walks.where(F.col("n") <= CARRIED).join(path_length(g), "path_id"))
-    long = walks.where(F.col("n") > CARRIED).select("path_id")
-    if (g.longest is not None and g.longest <= CARRIED) or long.isEmpty():
-        return rows
-    # Pairs with a long path: found from that, and turned round where the other one is short.
-    met = _met(handles.join(long, "path_id", "left_semi"), handles)
-    met = met.join(long.select(F.col("path_id").alias("other_id"), F.lit(True).alias("both")), "other_id", "left")
-    forth, back = F.struct("own_id", "other_id"), F.struct(F.col("other_id").alias("own_id"), F.col("own_id").alias("other_id"))
-    met = met.select(F.explode(F.when(F.col("both"), F.array(forth)).otherwise(F.array(forth, back))).alias("x")).select("x.own_id", "x.other_id")
-    asked = g.paths.select(F.col("path_id").alias("ord"), "path_id", "name")
-    return rows.unionByName(_overlap_rows(g, asked, met, path_length(g)))
+    own = handles.join(asked.select("path_id").distinct(), "path_id", "left_semi").withColumnRenamed("path_id", "own_id")
+    met = own.join(handles.withColumnRenamed("path_id", "other_id"), "handle").where("own_id <> other_id").select("own_id", "other_id").distinct()
+    lengths = path_length(g, sorted(set(names))).select(F.col("path_id").alias("own_id"), "length")
+    others = g.paths.select(F.col("path_id").alias("other_id"), F.col("name").alias("other"))
+    rows = asked.select("ord", F.col("path_id").alias("own_id"), "name").join(met, "own_id").join(lengths, "own_id").join(others, "other_id")
+    return rows.select("ord", "name", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), "other_id", "other")
 
 
 def _handles(g: Graph) -> DataFrame:
     return g.steps.select("path_id", (F.col("seg_id") * 2 + F.col("fwd").cast("long")).alias("handle"))
 
 
-def _walks(g: Graph) -> DataFrame:
-    """path_id, n (steps, of a long path perhaps not all, but more than CARRIED), handles (sorted, each once)."""
-    few = g.longest is not None and g.longest <= BUCKET
-    near = g if few else g.with_tables(steps=g.steps.where(F.col("step_idx") <= CARRIED))
-    return _handles(near).groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("handle")).alias("handles"))
+def _all_overlaps(g: Graph) -> DataFrame:
+    """Rows of path_overlaps for all paths: pairs of short paths, and those with a long one."""
+    bound = g.longest is not None and g.longest <= BUCKET
+    near = g if bound else g.with_tables(steps=g.steps.where(F.col("step_idx") <= CARRIED))
+    # Of a long path these are perhaps not all steps, but more than CARRIED.
+    walks = _handles(near).groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("handle")).alias("handles"))
+    lengths = path_length(g)
+    rows = _short_overlaps(walks.where(F.col("n") <= CARRIED).join(lengths, "path_id"))
+    long = walks.where(F.col("n") > CARRIED).select("path_id")
+    if (g.longest is not None and g.longest <= CARRIED) or long.isEmpty():
+        return rows
+    return rows.unionByName(_long_overlaps(_handles(g).distinct(), lengths, long))
 
 
 def _short_overlaps(short: DataFrame) -> DataFrame:
-    """Rows of path_overlaps for pairs of short paths. Paths meet at every handle that they share, with the lesser handles of
-    each; a pair is kept where these have none in common, which is at the least handle of both, and so once."""
+    """Pairs of short paths. Paths meet at every handle that they share, with the lesser handles of each; a pair is kept
+    where these have none in common, which is at the least handle of both, and so once."""
     rows = short.select("path_id", "name", "length", "handles", F.posexplode("handles").alias("place", "handle"))
     rows = rows.select("handle", "path_id", "name", "length", F.when(F.col("place") > 0, F.slice("handles", 1, F.col("place"))).alias("lesser"))
-    # Both sides have the same columns, so they are one shuffle; a pair is found once and read both ways.
-    a = rows.select("handle", *(F.col(c).alias(f"a_{c}") for c in rows.columns[1:]))
-    b = rows.select("handle", *(F.col(c).alias(f"b_{c}") for c in rows.columns[1:]))
-    met = a.join(b, "handle").where((F.col("a_path_id") < F.col("b_path_id")) & ~F.coalesce(F.arrays_overlap("a_lesser", "b_lesser"), F.lit(False)))
+    # Both sides have the same columns, so they are one shuffle.
+    met = _side(rows, "a").join(_side(rows, "b"), "handle").where("a_path_id < b_path_id")
+    return _both_ways(met.where(~F.coalesce(F.arrays_overlap("a_lesser", "b_lesser"), F.lit(False))))
 
-    def read(own: str, other: str):
-        return F.struct(F.col(f"{own}_path_id").alias("ord"), F.col(f"{own}_name").alias("name"), F.lit(0).cast("long").alias("start"), F.col(f"{own}_length").alias("end"), F.col(f"{other}_path_id").alias("other_id"), F.col(f"{other}_name").alias("other"))
 
-    return met.select(F.explode(F.array(read("a", "b"), read("b", "a"))).alias("x")).select("x.*")
+def _long_overlaps(handles: DataFrame, lengths: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs with a long path, found from that; they are made distinct by a shuffle, the only one of pairs."""
+    rows = handles.join(long.withColumn("long", F.lit(True)), "path_id", "left").join(lengths, "path_id").select("handle", "path_id", "name", "length", F.coalesce("long", F.lit(False)).alias("long"))
+    met = _side(rows.where("long"), "a").join(_side(rows, "b"), "handle").where("a_path_id < b_path_id OR NOT b_long")
+    return _both_ways(met.select(*(f"{side}_{c}" for side in "ab" for c in ("path_id", "name", "length"))).distinct())
 
 
-def _met(own: DataFrame, handles: DataFrame) -> DataFrame:
-    """own_id, other_id: the pairs of different paths with a handle in common, once each."""
-    own, other = own.withColumnRenamed("path_id", "own_id"), handles.withColumnRenamed("path_id", "other_id")
-    return own.join(other, "handle").where("own_id <> other_id").select("own_id", "other_id").distinct()
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("handle", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "handle"))
 
 
-def _overlap_rows(g: Graph, asked: DataFrame, met: DataFrame, lengths: DataFrame) -> DataFrame:
-    """The pairs with what path_overlaps says of them."""
-    lengths = lengths.select(F.col("path_id").alias("own_id"), "length")
-    others = g.paths.select(F.col("path_id").alias("other_id"), F.col("name").alias("other"))
-    rows = asked.select("ord", F.col("path_id").alias("own_id"), "name").join(met, "own_id").join(lengths, "own_id").join(others, "other_id")
-    return rows.select("ord", "name", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), "other_id", "other")
+def _both_ways(met: DataFrame) -> DataFrame:
+    """The rows of pairs a, b that stand for b, a too."""
+    def read(own: str, other: str):
+        return F.struct(F.col(f"{own}_path_id").alias("ord"), F.col(f"{own}_name").alias("name"), F.lit(0).cast("long").alias("start"), F.col(f"{own}_length").alias("end"), F.col(f"{other}_path_id").alias("other_id"), F.col(f"{other}_name").alias("other"))
+
+    return met.select(F.explode(F.array(read("a", "b"), read("b", "a"))).alias("x")).select("x.*")
