@@ -26,11 +26,14 @@ from pyspark.sql import types as T
 from .columns import free_prefix
 from .components import bounded, components
 from .darts import band_keys, shingles, signatures, similarity, text_keys
-from .storage import map_arrow, scratch, written
+from .storage import packed, scratch, stored, written
 from .textcols import blocks
 
 #: Tables of nodes (about 60 bytes a row) are broadcast up to this number of rows, else joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Rows that one task handles at least: signatures (about 800 bytes, a pair of them 1200), signatures to compare with a
+#: whole block, texts, pairs of texts to verify, buckets.
+TASK_SIGNATURES, TASK_COMPARED, TASK_TEXTS, TASK_PAIRS, TASK_BUCKETS = 4096, 2048, 1024, 1024, 65_536
 
 
 @dataclass(frozen=True)
@@ -77,15 +80,15 @@ def signed(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * plan.bands, plan.bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(2).slice(at, n), node, _fixed(sig), lists], schema.names)
 
-    return map_arrow(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), _text_key(text_col)), run, schema)
+    return stored(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), _text_key(text_col)), "dup-rows", run, schema)
 
 
 def _text_key(text_col: str):
     return F.unhex(F.md5(text_col)).alias("text_key")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
-    """Those pairs u, v whose signatures agree in enough coordinates."""
+def _agreeing(pairs: DataFrame, most: int, sigs: DataFrame, plan: Plan) -> DataFrame:
+    """Those pairs u, v whose signatures agree in enough coordinates; most: the pairs and signatures, or more."""
     k = plan.bands * plan.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +99,19 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, plan: Plan) -> DataFrame:
 
     left, right = (sigs.select(F.col("node").alias(n), F.col("sig").alias(f"sig_{n}")) for n in "uv")
     rows = pairs.join(left, "u").join(right, "v").select("u", "v", "sig_u", "sig_v")
-    return map_arrow(rows, run, T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())]))
+    return stored(packed(rows, most, TASK_SIGNATURES), "dup-likely", run, T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())]))
 
 
-def _texts(nodes: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node and one of its texts for each of the nodes. A row is known by its text's hash, so ids may repeat or be null."""
-    named = bounded(written(nodes.select("node").distinct(), "dup-named"), BROADCAST_ROWS)
+def _texts(nodes: DataFrame, most: int, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and one of its texts for each of the nodes, of which there are `most`, repeated ones included. A row is known
+    by its text's hash, so ids may repeat or be null."""
+    named = stored(packed(nodes.select("node").distinct(), most), "dup-named")
+    most = named.braid_rows
+    named = bounded(named, BROADCAST_ROWS)
     some = rows.join(named, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    some = bounded(written(some, "dup-some"), BROADCAST_ROWS)
+    some = bounded(stored(packed(some, rows.braid_rows), "dup-some"), BROADCAST_ROWS)
     texts = docs.select(_text_key(text_col), F.col(text_col).alias("text")).join(some, "text_key").select("node", "text")
-    return written(texts.groupBy("node").agg(F.first("text").alias("text")), "dup-texts")
+    return stored(packed(texts.groupBy("node").agg(F.first("text").alias("text")), most, TASK_TEXTS), "dup-texts")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
@@ -121,9 +127,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, t
                 out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim)], schema.names)
                 yield out.filter(pa.array(sim >= plan.least))
 
-    texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("node")), docs, rows, id_col, text_col)
+    most = pairs.braid_rows
+    texts = _texts(pairs.select(F.explode(F.array("u", "v")).alias("node")), 2 * most, docs, rows, id_col, text_col)
     left, right = (texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "uv")
-    return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), run, schema)
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
+    return stored(packed(both, most, TASK_PAIRS), "dup-links", run, schema)
 
 
 def _likely(left: pa.Table, right: pa.Table, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -182,21 +190,24 @@ def _joining(left: pa.Table, right: pa.Table, plan: Plan) -> tuple[list, list]:
 
 def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts_of, plan: Plan) -> DataFrame:
     """Links u, v between members of one bucket in different components: those outside the bucket's largest
-    component against all, block by block."""
+    component against all, block by block. texts_of(nodes, how many): a text for each of them."""
+    most = members.count()
     pair = T.StructType([T.StructField("u", T.BinaryType()), T.StructField("v", T.BinaryType())])
     placed = members.join(bounded(labels, BROADCAST_ROWS), "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     buckets = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1")
-    buckets = written(buckets.select("bucket", "members", F.col("most.label").alias("most")), "dup-open")
-    rows = written(placed.join(bounded(buckets, BROADCAST_ROWS), "bucket"), "dup-open-members")
+    buckets = stored(packed(buckets.select("bucket", "members", F.col("most.label").alias("most")), most), "dup-open")
+    rows = stored(placed.join(bounded(buckets, BROADCAST_ROWS), "bucket"), "dup-open-members")
     if rows.isEmpty():
         return members.sparkSession.createDataFrame([], pair)
-    rows = rows.join(sigs.select("node", "sig"), "node")
     n_blocks = F.ceil(F.col("members") / plan.block).cast("int")
     rows = rows.withColumns({"own": F.pmod(F.xxhash64("node"), n_blocks).cast("int"), "all": F.sequence(F.lit(0), n_blocks - 1), "outside": F.col("label") != F.col("most")})
+    held = rows.where("outside").select("bucket", F.col("own").alias("left_block"), "members").distinct()
+    held = stored(packed(held, most), "dup-blocks")
+    n_dealt = (rows.where("outside").agg(F.sum(n_blocks)).first()[0] or 0) + (held.agg(F.sum("members")).first()[0] or 0)
+    rows = rows.join(sigs.select("node", "sig"), "node")
     # The left side goes to every block of the right side; the right side to every block that some outsider is in.
     lefts = rows.where("outside").select("bucket", F.col("own").alias("left_block"), F.explode("all").alias("right_block"), F.lit(True).alias("is_left"), "node", "label", "sig")
-    held = written(rows.where("outside").select("bucket", F.col("own").alias("left_block")).distinct(), "dup-blocks")
     rights = rows.select("bucket", F.col("own").alias("right_block"), F.lit(False).alias("is_left"), "node", "label", "sig").join(bounded(held, BROADCAST_ROWS), "bucket").select(*lefts.columns)
 
     dealt = lefts.unionByName(rights)
@@ -211,17 +222,19 @@ def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts_of, plan
         return pa.concat_tables([left.filter(pa.array(rows)), right.filter(pa.array(columns))])
 
     # Texts go only to pairs of blocks where they have somebody to be compared with.
-    dealt = written(dealt.groupBy("bucket", "left_block", "right_block").applyInArrow(able, met), "dup-able")
-    if dealt.isEmpty():
+    dealt = dealt.groupBy("bucket", "left_block", "right_block").applyInArrow(able, met)
+    dealt = written(packed(dealt, n_dealt, TASK_COMPARED), "dup-able")
+    able_rows = dealt.count()
+    if not able_rows:
         return members.sparkSession.createDataFrame([], pair)
-    dealt = dealt.join(texts_of(dealt.select("node")), "node")
+    dealt = dealt.join(texts_of(dealt.select("node"), able_rows), "node")
 
     def run(table: pa.Table) -> pa.Table:
         left, right = (table.filter(pc.equal(table["is_left"], x)) for x in (True, False))
         u, v = _joining(left, right, plan) if len(left) and len(right) else ([], [])
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
-    return dealt.groupBy("bucket", "left_block", "right_block").applyInArrow(run, pair).distinct()
+    return packed(dealt.groupBy("bucket", "left_block", "right_block").applyInArrow(run, pair).distinct(), able_rows)
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[DataFrame, DataFrame]:
@@ -232,38 +245,43 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[D
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    rows = written(signed(docs, id_col, text_col, plan), "dup-rows")
-    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "dup-nodes")
+    rows = signed(docs, id_col, text_col, plan)
+    n_rows = rows.braid_rows
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = stored(packed(nodes, n_rows, TASK_SIGNATURES), "dup-nodes")
     members = nodes.select("node", F.explode_outer("bands").alias("bucket")).where("bucket IS NOT NULL")
-    full = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-buckets")
-    members = written(members.join(bounded(full, BROADCAST_ROWS), "bucket"), "dup-members")
-    central = bounded(written(members.groupBy("node").agg(F.sum("n").alias("met")), "dup-central"), BROADCAST_ROWS)
+    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    full = stored(packed(full, n_rows * plan.bands, TASK_BUCKETS), "dup-buckets")
+    members = stored(members.join(bounded(full, BROADCAST_ROWS), "bucket"), "dup-members")
+    n_members = members.braid_rows
+    central = bounded(stored(packed(members.groupBy("node").agg(F.sum("n").alias("met")), n_members), "dup-central"), BROADCAST_ROWS)
     hubs = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high"))
-    hubs = written(hubs.select("bucket", F.col("hub.node").alias("hub"), "low", "high"), "dup-hubs")
+    hubs = stored(packed(hubs.select("bucket", F.col("hub.node").alias("hub"), "low", "high"), n_members), "dup-hubs")
 
     ordered = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     stars = members.join(bounded(hubs, BROADCAST_ROWS), "bucket").select(F.col("node").alias("u"), F.explode(F.array_distinct(F.array("hub", "low", "high"))).alias("v")).where("u <> v").select(*ordered).distinct()
-    likely = written(_agreeing(stars, nodes, plan), "dup-likely")
-    links = written(_verified(likely, docs, rows, id_col, text_col, plan).select("u", "v"), "dup-links")
+    likely = _agreeing(stars, n_rows + 3 * n_members, nodes, plan)
+    links = _verified(likely, docs, rows, id_col, text_col, plan)
     # Rows with equal ids are one document, whatever their texts.
     named = rows.where("doc IS NOT NULL AND node IS NOT NULL").groupBy("doc").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("doc", "v")
-    named = bounded(written(named, "dup-renamed"), BROADCAST_ROWS)
+    named = bounded(stored(packed(named, n_rows), "dup-renamed"), BROADCAST_ROWS)
     same = rows.join(named, "doc").where("node <> v").select(F.col("node").alias("u"), "v")
-    labels = written(components(links.unionByName(same)), "dup-labels")
+    labels = stored(components(links.select("u", "v").unionByName(same), links.braid_rows + n_rows), "dup-labels")
 
     large = members.where("n > 3").select("bucket", "node")
-    more = written(_rest(large, labels, nodes, lambda some: _texts(some, docs, rows, id_col, text_col), plan), "dup-rest")
+    more = written(_rest(large, labels, nodes, lambda some, n: _texts(some, n, docs, rows, id_col, text_col), plan), "dup-rest")
     if not more.isEmpty():
         stars = labels.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
-        labels = written(components(written(stars.unionByName(more), "dup-all-links")), "dup-labels")
+        both = stored(stars.unionByName(more), "dup-all-links")
+        labels = stored(components(both, both.braid_rows), "dup-labels")
 
     # Only nodes of several rows or links need a class of their own; the others' class is their one document.
     counted = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))
     counted = counted.join(bounded(labels, BROADCAST_ROWS), "node", "left").where("n > 1 OR label IS NOT NULL")
-    counted = written(counted.select("node", F.coalesce("label", "node").alias("label"), "least"), "dup-counted")
+    counted = stored(packed(counted.select("node", F.coalesce("label", "node").alias("label"), "least"), n_rows), "dup-counted")
     least = counted.groupBy("label").agg(F.min("least").alias("class_id"))
-    least = bounded(written(least, "dup-least"), BROADCAST_ROWS)
-    return rows, written(counted.join(least, "label").select("node", "class_id"), "dup-classes")
+    least = bounded(stored(packed(least, n_rows), "dup-least"), BROADCAST_ROWS)
+    return rows, stored(packed(counted.join(least, "label").select("node", "class_id"), n_rows), "dup-classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan()) -> DataFrame:
@@ -284,11 +302,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of rows that repeat the id that stays, one stays.
     """
-    classed = written(near_duplicates(docs, id_col, text_col, plan).withColumnRenamed(id_col, "dup_doc"), "dup-classed")
+    classed = stored(near_duplicates(docs, id_col, text_col, plan).withColumnRenamed(id_col, "dup_doc"), "dup-classed")
     gone = classed.where("dup_doc <> class_id").select("dup_doc").distinct()
-    gone = bounded(written(gone, "dup-gone"), BROADCAST_ROWS)
+    gone = bounded(stored(packed(gone, classed.braid_rows), "dup-gone"), BROADCAST_ROWS)
     rest = docs.join(gone, docs[id_col] == gone["dup_doc"], "left_anti")
-    repeated = bounded(written(classed.where("dup_doc IS NOT NULL AND dup_doc = class_id").groupBy("dup_doc").count().where("count > 1").select("dup_doc"), "dup-repeated"), BROADCAST_ROWS)
+    repeated = bounded(stored(classed.where("dup_doc IS NOT NULL AND dup_doc = class_id").groupBy("dup_doc").count().where("count > 1").select("dup_doc"), "dup-repeated"), BROADCAST_ROWS)
     if repeated.isEmpty():
         return rest.select(*docs.columns)
     once = rest.join(repeated, rest[id_col] == repeated["dup_doc"], "left_semi")

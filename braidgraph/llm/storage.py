@@ -16,6 +16,12 @@ from urllib.parse import unquote, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a few short columns that one task handles at least, in tables whose number of rows is known.
+TASK_ROWS = 32_768
+#: Bytes of a row group of tables that Python workers write.
+GROUP_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
@@ -42,6 +48,77 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def packed(df: DataFrame, rows: int, a_task: int = TASK_ROWS) -> DataFrame:
+    """The same rows in as many tasks, and so files, at most as `rows` rows of them need; nothing is shuffled for it.
+
+    Where adaptive execution doesn't merge small partitions, a table of few rows is a file for each of them.
+    """
+    return df.coalesce(max(1, -(-rows // a_task)))
+
+
+def stored(df: DataFrame, name: str, function=None, schema=None) -> DataFrame:
+    """written(df), or written(map_arrow(df, function, schema)), with its number of rows as braid_rows.
+
+    In a mounted folder the Python workers write the files. Spark would do it through Hadoop, which without its native
+    library starts three programs (chmod) for each file, and while one starts, its process holds the executor's whole
+    memory as its own, so that an executor counts twice. A task's file is named by its partition and appears whole, so a task
+    that runs again replaces it.
+    """
+    schema = schema or df.schema
+    path = fresh(df.sparkSession, name)
+    folder = _local(path)
+    if folder is None:
+        out = written(map_arrow(df, function, schema) if function else df, name)
+        out.braid_rows = out.count()
+        return out
+    if _scopes():
+        _scopes()[-1].append(path)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        rows = _write_parquet(f"{folder}/part-{TaskContext.get().partitionId():06d}.parquet", function(batches) if function else batches)
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
+
+    rows = sum(r.rows for r in map_arrow(df, run, "rows long").collect())
+    out = df.sparkSession.read.schema(schema).parquet(path) if rows else df.sparkSession.createDataFrame([], schema)
+    out.braid_path, out.braid_rows = path, rows
+    return out
+
+
+def _write_parquet(path: str, batches) -> int:
+    """Write Arrow batches to a Parquet file that appears whole or, without rows, not at all; returns the number of rows."""
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    part = f"{os.path.dirname(path)}/_{uuid.uuid4().hex}"  # Spark passes over names that begin so
+    writer, held, rows = None, [], 0
+
+    def flush():
+        nonlocal writer
+        table = pa.Table.from_batches(held)
+        if writer is None:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            writer = parquet.ParquetWriter(part, table.schema)
+        writer.write_table(table)
+        held.clear()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if sum(b.nbytes for b in held) >= GROUP_BYTES:
+                flush()
+    if held:
+        flush()
+    if writer is not None:
+        writer.close()
+        os.replace(part, path)
+    pa.default_memory_pool().release_unused()  # the worker lives on
+    return rows
+
+
 _HELD = threading.local()
 
 

@@ -1,11 +1,13 @@
+import glob
 import random
+import sys
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from braidgraph.llm import near_dup
+from braidgraph.llm import near_dup, storage
 from braidgraph.llm.components import components
 from braidgraph.llm.darts import shingles, signatures, similarity
 from braidgraph.llm.textcols import blocks
@@ -138,6 +140,48 @@ def test_a_bucket_of_unlike_texts_sends_no_texts(spark):
     assert near_dup._rest(members, labels, sigs, texts_of, plan).count() == 0
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """With 40 shuffle partitions that nothing merges, tables of few rows are not 40 files each; but for block pairs no
+    table is written through Hadoop, which starts programs for each file and leaves check sums."""
+    draw = random.Random(4)
+    docs = []
+    for i in range(40):
+        base = prose(draw, 60).split()
+        docs += [(10 * i + j, " ".join([*base[:j], f"z{draw.random()}", *base[j + 1 :]])) for j in range(5)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    files: dict[str, list[int]] = {}
+
+    sums: set[str] = set()
+
+    def counted(write):
+        def run(df, name, *more):
+            out = write(df, name, *more)
+            files.setdefault(name, []).append(len(out.inputFiles()))
+            if glob.glob(f"{storage._local(out.braid_path)}/.*.crc"):
+                sums.add(name)
+            return out
+
+        return run
+
+    for module in (near_dup, sys.modules[components.__module__]):
+        for name in {"written", "stored"} & set(vars(module)):
+            monkeypatch.setattr(module, name, counted(getattr(storage, name)))
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = {r[0]: r[1] for r in near_dup.near_duplicates(frame).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(docs)
+    files.pop("dup-rows"), files.pop("dup-members")  # as many as the input's, or the nodes', partitions
+    assert {"dup-nodes", "dup-likely", "dup-links", "cc-links", "cc-least", "dup-classes"} <= set(files)
+    assert {k: v for k, v in files.items() if max(v) > 4} == {}
+    assert sums <= {"dup-able", "dup-rest"}
+
+
 def test_null_ids_have_near_copies(spark):
     draw = random.Random(6)
     base = prose(draw, 100)
